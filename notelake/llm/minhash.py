@@ -11,9 +11,11 @@ Plan
    posterior probability that its similarity reaches the threshold falls below ``miss``.
 5. Survivors are verified on the full shingle sets of the whole texts; verified links give components.
 6. A large bucket whose members now lie in several components is not settled: its members outside the hub's
-   component are compared, signature batch by signature batch, with every member of another component,
-   and survivors are verified as before. So each pair that shares a bucket is either connected already or
-   was compared; nothing is capped.
+   component are compared, signature batch by signature batch, with every member of another component. Each
+   round verifies the most similar survivors of each such member, links join components, and the next round
+   takes 64 times as many, until no survivor between components is left unverified. So each pair that shares
+   a bucket ends up connected or compared; a dense group settles after a few pairs a member, and nothing is
+   capped.
 
 The chance that a pair at the threshold shares no band is ``(1 - t**rows)**bands``: 5e-6 for the defaults.
 """
@@ -29,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .bytesets import mix, shingle_hashes, texts_of, words_by_text
 from .components import connected_components
@@ -49,6 +52,8 @@ class MinHashParams:
     small_bucket: int = 16
     outlier_chunk: int = 64
     member_chunk: int = 512
+    #: Most similar survivors of a member that the first round on unsettled buckets verifies.
+    first_round: int = 2
     #: Candidate ids up to this many are broadcast to pick their texts; more are joined by a shuffle.
     broadcast_ids: int = 1_000_000
 
@@ -131,8 +136,8 @@ def least_matches(params: MinHashParams) -> list[tuple[int, int]]:
     return out
 
 
-def prune(left: np.ndarray, right: np.ndarray, params: MinHashParams) -> np.ndarray:
-    """Row numbers of the signature pairs that no batch prunes."""
+def prune(left: np.ndarray, right: np.ndarray, params: MinHashParams) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the signature pairs that no batch prunes, and how many values match in each."""
     alive, matches, done = np.arange(len(left)), np.zeros(len(left), np.int32), 0
     for h, least in least_matches(params):
         matches = matches + (left[alive, done:h] == right[alive, done:h]).sum(axis=1, dtype=np.int32)
@@ -140,7 +145,7 @@ def prune(left: np.ndarray, right: np.ndarray, params: MinHashParams) -> np.ndar
         alive, matches, done = alive[keep], matches[keep], h
         if not len(alive):
             break
-    return alive
+    return alive, matches
 
 
 def _signatures(column: pa.Array, params: MinHashParams) -> np.ndarray:
@@ -153,7 +158,7 @@ def _survivors(pairs: DataFrame, sigs: DataFrame, params: MinHashParams) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keep = prune(_signatures(batch.column(2), params), _signatures(batch.column(3), params), params)
+                keep, _ = prune(_signatures(batch.column(2), params), _signatures(batch.column(3), params), params)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep))], names=["a", "b"])
 
     left = sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a"))
@@ -195,42 +200,43 @@ def _verify(survivors: DataFrame, docs: DataFrame, params: MinHashParams, doc_id
     return cut(_verified(survivors, texts, params), "mh-links")
 
 
-def _unsettled(members: DataFrame, components: DataFrame, sigs: DataFrame, params: MinHashParams) -> DataFrame:
-    """Survivors among the pairs of large buckets' members that lie in different components.
+def _unsettled(members: DataFrame, components: DataFrame, sigs: DataFrame, most: int, params: MinHashParams) -> DataFrame:
+    """Of the pairs of large buckets' members in different components, those that survive: each member's ``most`` most similar in a group.
 
     ``members``: bucket, hub, doc_id. Members outside the hub's component are dealt to chunks by hash; each
-    chunk meets every chunk of the bucket's members in a group of its own.
+    chunk meets every chunk of the bucket's members in a group of its own. Returns a, b, member (the one outside),
+    matches, and cut_off, whether the group had more survivors of that member than were kept.
     """
     placed = cut(members.join(components.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("bucket", "hub", "doc_id", F.coalesce("component", "doc_id").alias("component")), "mh-placed")
     spread = placed.groupBy("bucket").agg(F.count("*").alias("m"), F.max(F.when(F.col("doc_id") == F.col("hub"), F.col("component"))).alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     spread = cut(spread.select("bucket", "m", "main"), "mh-spread")
     mixed = cut(placed.join(spread, "bucket").select("bucket", "m", "main", "doc_id", "component"), "mh-mixed")
-    outlying = mixed.where("component <> main").groupBy("bucket").agg(F.count("*").alias("u"))
-    mixed = mixed.join(cut(outlying, "mh-outlying"), "bucket").join(sigs.select("doc_id", "sig"), "doc_id")
+    outlying = cut(mixed.where("component <> main").groupBy("bucket").agg(F.count("*").alias("u")), "mh-outlying")
+    mixed = mixed.join(outlying, "bucket").join(sigs.select("doc_id", "sig"), "doc_id")
     chunks = F.ceil(F.col("u") / params.outlier_chunk).cast("int")
     own = F.pmod(F.xxhash64("doc_id", F.lit(1)), chunks).cast("int")
-    outliers = mixed.where("component <> main").withColumn("o", own)
     parts = F.ceil(F.col("m") / params.member_chunk).cast("int")
-    left = outliers.withColumn("p", F.explode(F.sequence(F.lit(0), parts - 1))).select("bucket", "o", "p", "doc_id", "component", "sig", F.lit(True).alias("outlier"))
+    left = mixed.where("component <> main").withColumn("o", own).withColumn("p", F.explode(F.sequence(F.lit(0), parts - 1)))
     right = mixed.withColumn("p", F.pmod(F.xxhash64("doc_id", F.lit(2)), parts).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    right = right.select("bucket", "o", "p", "doc_id", "component", "sig", F.lit(False).alias("outlier"))
+    columns = ("bucket", "o", "p", "doc_id", "component", "sig")
 
     def meet(group: pa.Table) -> pa.Table:
         ids, comp = group.column("doc_id").to_numpy(), group.column("component").to_numpy()
         sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u2").reshape(-1, params.hashes)
         out = np.asarray(group.column("outlier").to_pylist(), bool)
-        lo, hi = [], []
         others = np.flatnonzero(~out)
+        found = [(np.zeros(0, np.int64),) * 4]
         for i in np.flatnonzero(out):
             against = others[comp[others] != comp[i]]
             if len(against):
-                hit = against[prune(np.broadcast_to(sig[i], (len(against), params.hashes)), sig[against], params)]
-                lo.append(np.minimum(ids[hit], ids[i]))
-                hi.append(np.maximum(ids[hit], ids[i]))
-        empty = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate(lo) if lo else empty, "b": np.concatenate(hi) if hi else empty})
+                hit, matches = prune(np.broadcast_to(sig[i], (len(against), params.hashes)), sig[against], params)
+                best = np.lexsort((ids[against[hit]], -matches))[:most]
+                found.append((np.full(len(best), ids[i]), ids[against[hit[best]]], matches[best].astype(np.int64), np.full(len(best), int(len(hit) > most))))
+        member, other, matches, more = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table({"a": np.minimum(member, other), "b": np.maximum(member, other), "member": member, "matches": matches, "cut_off": more})
 
-    return left.union(right).groupBy("bucket", "o", "p").applyInArrow(meet, "a long, b long")
+    both = left.select(*columns, F.lit(True).alias("outlier")).union(right.select(*columns, F.lit(False).alias("outlier")))
+    return both.groupBy("bucket", "o", "p").applyInArrow(meet, "a long, b long, member long, matches long, cut_off long")
 
 
 def near_duplicates(docs: DataFrame, params: MinHashParams | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -266,11 +272,21 @@ def near_duplicates(docs: DataFrame, params: MinHashParams | None = None, doc_id
     links = _verify(survivors, docs, params, doc_id, text)
     edges = links.union(spare.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     components = connected_components(edges)
-    if not large.isEmpty():
-        late = cut(_unsettled(large.select("bucket", "hub", "doc_id"), components, sigs, params).distinct().join(pairs, ["a", "b"], "left_anti"), "mh-late")
-        if not late.isEmpty():
-            edges = edges.union(_verify(late, docs, params, doc_id, text))
+    most, large = params.first_round, large.select("bucket", "hub", "doc_id")
+    while not large.isEmpty():
+        late = cut(_unsettled(large, components, sigs, most, params).groupBy("a", "b", "member").agg(F.max("matches").alias("matches"), F.max("cut_off").alias("cut_off")), "mh-late")
+        fresh = late.join(pairs, ["a", "b"], "left_anti")
+        rank = F.row_number().over(Window.partitionBy("member").orderBy(F.desc("matches"), "a", "b"))
+        taken = cut(fresh.withColumn("rank", rank).where(F.col("rank") <= 2 * most).select("a", "b").distinct(), "mh-taken")
+        if taken.isEmpty():
+            if late.where("cut_off > 0").isEmpty():
+                break
+        else:
+            pairs = pairs.union(taken)
+            links = _verify(taken, docs, params, doc_id, text)
+            edges = edges.union(links)
             components = connected_components(edges)
+        most *= 64
     placed = sketches.select("doc_id", "n_shingles").join(components.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import decontaminate, minhash, mixing, token_output, toxicity
+from . import decontaminate, embed_dedup, html_extract, minhash, mixing, pii, quality, token_output, toxicity, url_filter
 from .workspace import fresh_path
 
 #: The tokenizer file and end-of-document id of the token output query.
@@ -17,6 +17,27 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(~toxicity.held_out())
+    return quality.judge(table(spark, sf_dir, "documents"), labels)
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~toxicity.held_out()))
@@ -44,7 +65,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
+    "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_html_extract": op3_html_extract,
+    "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
+    "op6_pii": op6_pii,
     "op7_token_output": op7_token_output,
     "op8_mixing": op8_mixing,
     "op9_minhash": op9_minhash,
