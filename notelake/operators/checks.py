@@ -1,0 +1,57 @@
+"""Data-quality assertions: each is one row of check, status and detail over a frame's violations."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import body_hash
+
+
+def none_of(df: DataFrame, check: str, violation: Column, warn: bool = False) -> DataFrame:
+    """Passes if no row violates."""
+    n = F.count_if(F.coalesce(violation, F.lit(True)))
+    return df.agg(F.lit(check).alias("check"), F.when(n == 0, "pass").otherwise("warn" if warn else "fail").alias("status"), n.alias("n_violations"))
+
+
+def some(df: DataFrame, check: str) -> DataFrame:
+    n = F.count("*")
+    return df.agg(F.lit(check).alias("check"), F.when(n > 0, "pass").otherwise("fail").alias("status"), F.when(n > 0, 0).otherwise(1).cast("long").alias("n_violations"))
+
+
+def all_present(df: DataFrame, column: str, required: list[str], check: str) -> DataFrame:
+    spark = df.sparkSession
+    missing = spark.createDataFrame([(r,) for r in required], "need string").join(df.select(F.col(column).alias("need")).distinct(), "need", "left_anti")
+    return missing.agg(F.lit(check).alias("check"), F.when(F.count("*") == 0, "pass").otherwise("fail").alias("status"), F.count("*").alias("n_violations"))
+
+
+def report(checks: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, checks)
+
+
+def log_fields(lines: DataFrame, column: str = "value") -> DataFrame:
+    return none_of(lines, "log lines have four fields", F.size(F.split(column, "[|]")) != 4)
+
+
+def hashes_match(notes: DataFrame) -> DataFrame:
+    return none_of(notes.where("tagged_hash IS NOT NULL"), "tagged hash equals body hash", F.col("tagged_hash") != body_hash(F.col("body")))
+
+
+def vault_report(spark: SparkSession, notes: DataFrame, log: DataFrame, registry: DataFrame, known_roles: list[str], dangling: DataFrame, host_literals: list[str]) -> DataFrame:
+    """The assertions on a scanned vault that need no file system."""
+    known = spark.createDataFrame([(r,) for r in known_roles], "role string")
+    leak = reduce(lambda a, b: a | b, [F.col("text").contains(h) for h in host_literals], F.lit(False))
+    return report(
+        [
+            some(notes, "the manifest is not empty"),
+            none_of(notes, "frontmatter is well formed", F.col("text").startswith("---\n") & ~F.col("has_frontmatter")),
+            hashes_match(notes),
+            log_fields(log),
+            some(registry, "the registry has rows"),
+            none_of(registry.join(known.withColumn("is_known", F.lit(True)), "role", "left"), "roles are known", F.col("is_known").isNull()),
+            none_of(notes, "no host path leaks", leak),
+            none_of(dangling.withColumn("v", F.lit(True)), "links resolve", F.col("v"), warn=True),
+        ]
+    )
