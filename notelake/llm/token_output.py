@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -33,6 +34,19 @@ from .workspace import cut
 #: A word: a contraction, letters, one digit, or a run of what is neither; the tokenizer's own rule without white space.
 _WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
+#: Chunks of these characters only have their words and cases told alike by both libraries: printable ASCII and Latin letters.
+_LATIN = re.compile("[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
+
+
+def _byte_letters() -> str:
+    """The vocabulary's letter for each byte: printable ones stand for themselves, the rest follow from U+0100 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return "".join(chr(b if b in own else next(rest)) for b in range(256))
+
+
+_BYTE_LETTERS = {b: c for b, c in enumerate(_byte_letters())}
+
 TOKENS = "doc_id long, n_tokens long, ids binary"
 BLOCKS = "part int, block int, first long, doc_ids array<long>, doc_tokens array<long>, count long, lanes int, interval int, words binary, states binary, positions array<long>, crc32 long, ids_crc32 long"
 
@@ -41,7 +55,7 @@ class ChunkEncoder:
     """Ids of whole texts, by the tokenizer, one chunk between ASCII blanks at a time, through a bounded memo.
 
     Neither the normalizer nor the splitting rule joins anything across a blank, so the ids of a text are those
-    of its chunks. A chunk of plain ASCII words goes to the vocabulary model word by word; any other goes to the
+    of its chunks. A chunk of Latin letters goes to the vocabulary model word by word; any other goes to the
     whole tokenizer.
     """
 
@@ -59,12 +73,13 @@ class ChunkEncoder:
         return all(x in tokenizer_json for x in ('"end_of_word_suffix":"</w>"', '"type":"Lowercase"', r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"))
 
     def _chunk(self, chunk: str) -> bytes:
-        if not self.plain or not chunk.isascii() or not chunk.isprintable() or len(chunk) > 200 or any(t in chunk for t in self.added):
+        if not self.plain or len(chunk) > 200 or not _LATIN.fullmatch(chunk) or any(t in chunk for t in self.added):
             return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.dtype).tobytes()
         return b"".join([self.words.get(w) or self._word(w) for w in _WORDS.findall(chunk.lower())])
 
     def _word(self, word: str) -> bytes:
-        out = np.array([t.id for t in self.tokenizer.model.tokenize(word)], self.dtype).tobytes()
+        spelt = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        out = np.array([t.id for t in self.tokenizer.model.tokenize(spelt)], self.dtype).tobytes()
         self.words[word] = out
         return out
 
@@ -89,6 +104,12 @@ class _Memo(dict):
         return out
 
 
+@lru_cache(2)
+def _encoder(tokenizer_json: str) -> ChunkEncoder:
+    """A worker's encoder, kept with its memo from task to task."""
+    return ChunkEncoder(tokenizer_json)
+
+
 def read_tokenizer(path: str) -> str:
     """The tokenizer file's text, read on the driver; a vocabulary bounds its size."""
     return Path(path).read_text(encoding="utf-8")
@@ -99,7 +120,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int | None, doc_id: s
     shared = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(shared.value)
+        encoder = _encoder(shared.value)
         end = b"" if end_id is None else np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
             ids = [encoder.encode(x or "") + end for x in batch.column(1).to_pylist()]
