@@ -59,10 +59,11 @@ class ChunkEncoder:
     whole tokenizer.
     """
 
-    def __init__(self, tokenizer_json: str, most: int = 300_000) -> None:
+    def __init__(self, tokenizer_json: str, most: int = 600_000) -> None:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.width, self.model = self.dtype.itemsize, self.tokenizer.model
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.plain = self._has_known_rule(tokenizer_json)
         self.most, self.words = most, {}
@@ -75,11 +76,12 @@ class ChunkEncoder:
     def _chunk(self, chunk: str) -> bytes:
         if not self.plain or len(chunk) > 200 or not _LATIN.fullmatch(chunk) or any(t in chunk for t in self.added):
             return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.dtype).tobytes()
-        return b"".join([self.words.get(w) or self._word(w) for w in _WORDS.findall(chunk.lower())])
+        words = self.words
+        return b"".join([words.get(w) or self._word(w) for w in _WORDS.findall(chunk.lower())])
 
     def _word(self, word: str) -> bytes:
         spelt = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
-        out = np.array([t.id for t in self.tokenizer.model.tokenize(spelt)], self.dtype).tobytes()
+        out = b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(spelt)])
         self.words[word] = out
         return out
 
