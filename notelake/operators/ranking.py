@@ -23,7 +23,7 @@ def completion(priority: Column, soon: Column, atomic: Column, streak: Column, r
     """Hundredths, between 5 and 97. Without history (null streak and rate) those terms are left out."""
     base = F.when(priority == "P1", BASE["P1"]).when(priority == "P3", BASE["P3"]).otherwise(BASE["P2"])
     p = base + F.when(soon, SOON).otherwise(0) + F.when(atomic, ATOMIC).otherwise(-ATOMIC)
-    p = p - F.coalesce(F.least(streak * STREAK_STEP, F.lit(STREAK_CAP)), F.lit(0)) + F.when(rate >= SAME_DAY_FROM, SAME_DAY).otherwise(0)
+    p = p - F.when(streak.isNotNull(), F.least(streak * STREAK_STEP, F.lit(STREAK_CAP))).otherwise(0) + F.when(rate >= SAME_DAY_FROM, SAME_DAY).otherwise(0)
     return F.greatest(F.lit(LOWEST), F.least(F.lit(HIGHEST), p)).cast("int")
 
 

@@ -64,7 +64,7 @@ def splice(text: Column, heading: str, content: Column) -> Column:
     hit = text.rlike(form)
     before = F.regexp_extract(text, rf"(?ms)\A(.*?)^{quoted}[ \t]*$", 1)
     after = F.regexp_extract(text, rf"(?ms)^{quoted}[ \t]*$.*?((?:^#{{1,{level}}}\s.*)?)\z", 1)
-    return F.when(hit, F.concat(before, new, after)).otherwise(F.concat(F.regexp_replace(text, r"\n*\z", "\n\n"), new))
+    return F.when(hit, F.concat(before, new, after)).otherwise(F.concat(F.regexp_replace(text, r"\n+\z", ""), F.lit("\n\n"), new))
 
 
 def strip_section(text: Column, heading: str) -> Column:

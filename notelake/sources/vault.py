@@ -27,7 +27,7 @@ def parse_notes(files: DataFrame, text: str = "text") -> DataFrame:
     has = F.col(text).rlike(_FRONT)
     out = out.withColumns({"has_frontmatter": has, "__front": F.when(has, F.regexp_extract(text, _FRONT, 1)).otherwise(""), "body": F.when(has, F.regexp_extract(text, _FRONT, 2)).otherwise(F.col(text))})
     # A list over several lines is folded into one before lines are read.
-    folded = F.regexp_replace(F.regexp_replace("__front", r"(?m)^([\w.-]+):[ \t]*\n(?=[ \t]*-)", "$1: \u0001"), r"(?m)\n?^[ \t]*-[ \t]+(.*)$", "\u0002$1")
+    folded = F.regexp_replace(F.regexp_replace("__front", r"(?m)^([\w.-]+):[ \t]*$(?=\n[ \t]*-)", "$1: \u0001"), r"(?m)\n?^[ \t]*-[ \t]+(.*)$", "\u0002$1")
     lines = F.filter(F.split(folded, "\n"), lambda x: x.rlike(r"^[\w.-]+:"))
 
     def value(line: Column) -> Column:
