@@ -212,7 +212,7 @@ def _unsettled(members: DataFrame, components: DataFrame, sigs: DataFrame, most:
     spread = cut(spread.select("bucket", "m", "main"), "mh-spread")
     mixed = cut(placed.join(spread, "bucket").select("bucket", "m", "main", "doc_id", "component"), "mh-mixed")
     outlying = cut(mixed.where("component <> main").groupBy("bucket").agg(F.count("*").alias("u")), "mh-outlying")
-    mixed = mixed.join(outlying, "bucket").join(sigs.select("doc_id", "sig"), "doc_id")
+    mixed = cut(mixed.join(outlying, "bucket").join(sigs.select("doc_id", "sig"), "doc_id"), "mh-signed")
     chunks = F.ceil(F.col("u") / params.outlier_chunk).cast("int")
     own = F.pmod(F.xxhash64("doc_id", F.lit(1)), chunks).cast("int")
     parts = F.ceil(F.col("m") / params.member_chunk).cast("int")
