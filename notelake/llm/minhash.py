@@ -10,12 +10,11 @@ Plan
 4. Signature batches of each candidate are compared one after another. A pair is pruned as soon as the
    posterior probability that its similarity reaches the threshold falls below ``miss``.
 5. Survivors are verified on the full shingle sets of the whole texts; verified links give components.
-6. A large bucket whose members now lie in several components is not settled: its members outside the hub's
-   component are compared, signature batch by signature batch, with every member of another component. Each
-   round verifies the most similar survivors of each such member, links join components, and the next round
-   takes 64 times as many, until no survivor between components is left unverified. So each pair that shares
-   a bucket ends up connected or compared; a dense group settles after a few pairs a member, and nothing is
-   capped.
+6. A large bucket whose members now lie in several components is not settled: its members outside the main
+   component, the one that holds most of them, meet every member of another component in blocks. A pair goes
+   through the same sequential test and the same exact check there; of each member and component the most
+   similar pair comes first, and the first link between them settles the rest. A pair that shares several
+   buckets is met in one. So each pair that shares a bucket ends up connected or compared; nothing is capped.
 
 The chance that a pair at the threshold shares no band is ``(1 - t**rows)**bands``: 5e-6 for the defaults.
 """
@@ -31,7 +30,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .bytesets import mix, shingle_hashes, texts_of, words_by_text
 from .components import connected_components
@@ -50,10 +48,10 @@ class MinHashParams:
     batch: int = 48
     miss: float = 1e-7
     small_bucket: int = 16
-    outlier_chunk: int = 64
-    member_chunk: int = 512
-    #: Most similar survivors of a member that the first round on unsettled buckets verifies.
-    first_round: int = 2
+    outlier_chunk: int = 256
+    member_chunk: int = 1024
+    #: Shingles that a chunk of outliers, and one of members, holds on average at most.
+    chunk_shingles: int = 1_000_000
     #: Candidate ids up to this many are broadcast to pick their texts; more are joined by a shuffle.
     broadcast_ids: int = 1_000_000
 
@@ -86,16 +84,18 @@ def minhash(shingles: np.ndarray, k: int) -> np.ndarray:
 _permutations_cached = lru_cache(4)(_permutations)
 
 
-def sketch(docs: DataFrame, params: MinHashParams, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A sketch of each row's whole text; null and blank texts have no set (0 shingles, null keys)."""
+def sketch(docs: DataFrame, params: MinHashParams, doc_id: str = "doc_id", text: str = "text", sets: bool = False) -> DataFrame:
+    """A sketch of each row's whole text, and its sorted shingle hashes if ``sets``; null and blank texts have no set (0 shingles, null keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, key_a, key_b, bands, sigs = [], [], [], [], [], []
+            ids, sizes, key_a, key_b, bands, sigs, whole = [], [], [], [], [], [], []
             for k, words in enumerate(words_by_text(texts_of(batch.column(1)))):
                 ids.append(k)
                 shingles = np.unique(shingle_hashes(words, params.shingle))
                 sizes.append(len(shingles))
+                if sets:
+                    whole.append(shingles.tobytes())
                 if not len(shingles):
                     for x in (key_a, key_b, bands, sigs):
                         x.append(None)
@@ -109,12 +109,13 @@ def sketch(docs: DataFrame, params: MinHashParams, doc_id: str = "doc_id", text:
                     hashed = mix(hashed * np.uint64(5) + rows[:, c])
                 bands.append(hashed.view(np.int64))
                 sigs.append((sig & np.uint32(0xFFFF)).astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(key_a, pa.int64()), pa.array(key_b, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                names=["doc_id", "n_shingles", "key_a", "key_b", "bands", "sig"],
-            )
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(key_a, pa.int64()), pa.array(key_b, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
+            if sets:
+                columns.append(pa.array(whole, pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "key_a", "key_b", "bands", "sig", "whole"][: len(columns)])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SKETCH)
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return source.mapInArrow(run, SKETCH + ", whole binary" * sets)
 
 
 @lru_cache(8)
@@ -194,49 +195,76 @@ def _verified(pairs: DataFrame, texts: DataFrame, params: MinHashParams) -> Data
 
 def _verify(survivors: DataFrame, docs: DataFrame, params: MinHashParams, doc_id: str, text: str) -> DataFrame:
     wanted = cut(survivors.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "mh-wanted")
+    texts = cut(_texts(wanted, docs, params, doc_id, text), "mh-texts")
+    return cut(_verified(survivors, texts, params), "mh-links")
+
+
+def _texts(wanted: DataFrame, docs: DataFrame, params: MinHashParams, doc_id: str, text: str) -> DataFrame:
+    """doc_id and text of the rows whose ids are ``wanted``."""
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     few = wanted.limit(params.broadcast_ids + 1).count() <= params.broadcast_ids
-    texts = cut(source.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), "mh-texts")
-    return cut(_verified(survivors, texts, params), "mh-links")
+    return source.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
 
 
-def _unsettled(members: DataFrame, components: DataFrame, sigs: DataFrame, most: int, params: MinHashParams) -> DataFrame:
-    """Of the pairs of large buckets' members in different components, those that survive: each member's ``most`` most similar in a group.
+def _mixed(members: DataFrame, components: DataFrame) -> DataFrame:
+    """bucket, m, main, doc_id, component of buckets whose members lie in several components; ``main`` is the one that holds most of them."""
+    placed = cut(members.join(components.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")), "mh-placed")
+    shares = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    spread = shares.groupBy("bucket").agg(F.sum("n").alias("m"), F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
+    return cut(placed.join(cut(spread.drop("kinds"), "mh-spread"), "bucket").select("bucket", "m", "main", "doc_id", "component"), "mh-mixed")
 
-    ``members``: bucket, hub, doc_id. Members outside the hub's component are dealt to chunks by hash; each
-    chunk meets every chunk of the bucket's members in a group of its own. Returns a, b, member (the one outside),
-    matches, and cut_off, whether the group had more survivors of that member than were kept.
+
+def _unsettled(members: DataFrame, components: DataFrame, docs: DataFrame, params: MinHashParams, doc_id: str, text: str) -> DataFrame:
+    """Verified links (a, b) between members of large buckets that lie in different components, one at least wherever a pair of them has one.
+
+    ``members``: bucket, doc_id. Members outside the main component are dealt to chunks by hash; each
+    chunk meets every chunk of the bucket's members in a group of its own.
     """
-    placed = cut(members.join(components.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("bucket", "hub", "doc_id", F.coalesce("component", "doc_id").alias("component")), "mh-placed")
-    spread = placed.groupBy("bucket").agg(F.count("*").alias("m"), F.max(F.when(F.col("doc_id") == F.col("hub"), F.col("component"))).alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    spread = cut(spread.select("bucket", "m", "main"), "mh-spread")
-    mixed = cut(placed.join(spread, "bucket").select("bucket", "m", "main", "doc_id", "component"), "mh-mixed")
-    outlying = cut(mixed.where("component <> main").groupBy("bucket").agg(F.count("*").alias("u")), "mh-outlying")
-    mixed = cut(mixed.join(outlying, "bucket").join(sigs.select("doc_id", "sig"), "doc_id"), "mh-signed")
-    chunks = F.ceil(F.col("u") / params.outlier_chunk).cast("int")
-    own = F.pmod(F.xxhash64("doc_id", F.lit(1)), chunks).cast("int")
-    parts = F.ceil(F.col("m") / params.member_chunk).cast("int")
-    left = mixed.where("component <> main").withColumn("o", own).withColumn("p", F.explode(F.sequence(F.lit(0), parts - 1)))
-    right = mixed.withColumn("p", F.pmod(F.xxhash64("doc_id", F.lit(2)), parts).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    columns = ("bucket", "o", "p", "doc_id", "component", "sig")
+    mixed = _mixed(members, components)
+    wanted = cut(mixed.select("doc_id").distinct(), "mh-wanted")
+    full = cut(sketch(_texts(wanted, docs, params, doc_id, text), params, sets=True).where("n_shingles > 0").select("doc_id", "n_shingles", "bands", "sig", "whole"), "mh-full")
+    sized = mixed.join(full.select("doc_id", "n_shingles"), "doc_id")
+    out = F.col("component") != F.col("main")
+    totals = sized.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("m_sum"), F.count(F.when(out, 1)).alias("u"), F.sum(F.when(out, F.col("n_shingles"))).alias("u_sum"))
+    chunks, parts = (F.ceil(F.greatest(F.col(n) / most, F.col(f"{n}_sum") / params.chunk_shingles)).cast("int") for n, most in (("u", params.outlier_chunk), ("m", params.member_chunk)))
+    totals = cut(totals.select("bucket", chunks.alias("chunks"), parts.alias("parts")), "mh-chunks")
+    mixed = cut(mixed.join(totals, "bucket").select("bucket", "chunks", "parts", "main", "doc_id", "component"), "mh-dealt")
+    left = mixed.where(out).withColumn("o", F.pmod(F.xxhash64("doc_id", F.lit(1)), "chunks").cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = mixed.withColumn("p", F.pmod(F.xxhash64("doc_id", F.lit(2)), "parts").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
 
     def meet(group: pa.Table) -> pa.Table:
-        ids, comp = group.column("doc_id").to_numpy(), group.column("component").to_numpy()
+        group = group.combine_chunks()
+        ids, comp, bucket = group.column("doc_id").to_numpy(), group.column("component").to_numpy(), group.column("bucket")[0].as_py()
         sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u2").reshape(-1, params.hashes)
-        out = np.asarray(group.column("outlier").to_pylist(), bool)
-        others = np.flatnonzero(~out)
-        found = [(np.zeros(0, np.int64),) * 4]
-        for i in np.flatnonzero(out):
+        bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, params.bands)
+        sets = [np.frombuffer(x, np.uint64) for x in group.column("whole").to_pylist()]
+        sizes = np.array(list(map(len, sets)))
+        outlying = np.asarray(group.column("outlier").to_pylist(), bool)
+        others = np.flatnonzero(~outlying)
+        links: list[tuple[int, int]] = []
+        for i in np.flatnonzero(outlying):
             against = others[comp[others] != comp[i]]
-            if len(against):
-                hit, matches = prune(np.broadcast_to(sig[i], (len(against), params.hashes)), sig[against], params)
-                best = np.lexsort((ids[against[hit]], -matches))[:most]
-                found.append((np.full(len(best), ids[i]), ids[against[hit[best]]], matches[best].astype(np.int64), np.full(len(best), int(len(hit) > most))))
-        member, other, matches, more = (np.concatenate(x) for x in zip(*found, strict=True))
-        return pa.table({"a": np.minimum(member, other), "b": np.maximum(member, other), "member": member, "matches": matches, "cut_off": more})
-
+            fit = params.denominator * np.minimum(sizes[against], sizes[i]) >= params.numerator * np.maximum(sizes[against], sizes[i])
+            against = against[fit]
+            if not len(against):
+                continue
+            # Of the buckets that two share, the smallest is theirs.
+            shared = bands[against] == bands[i]
+            least = np.where(shared, bands[against], np.iinfo(np.int64).max).min(axis=1)
+            against = against[least == bucket]
+            hit, matches = prune(np.broadcast_to(sig[i], (len(against), params.hashes)), sig[against], params)
+            joined = set()
+            for j in against[hit[np.argsort(-matches, kind="stable")]]:
+                if comp[j] not in joined:
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if params.denominator * both >= params.numerator * (sizes[i] + sizes[j] - both):
+                        joined.add(comp[j])
+                        links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    columns = ("bucket", "o", "p", "doc_id", "component")
     both = left.select(*columns, F.lit(True).alias("outlier")).union(right.select(*columns, F.lit(False).alias("outlier")))
-    return both.groupBy("bucket", "o", "p").applyInArrow(meet, "a long, b long, member long, matches long, cut_off long")
+    return both.join(full.drop("n_shingles"), "doc_id").groupBy("bucket", "o", "p").applyInArrow(meet, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, params: MinHashParams | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -272,21 +300,11 @@ def near_duplicates(docs: DataFrame, params: MinHashParams | None = None, doc_id
     links = _verify(survivors, docs, params, doc_id, text)
     edges = links.union(spare.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     components = connected_components(edges)
-    most, large = params.first_round, large.select("bucket", "hub", "doc_id")
-    while not large.isEmpty():
-        late = cut(_unsettled(large, components, sigs, most, params).groupBy("a", "b", "member").agg(F.max("matches").alias("matches"), F.max("cut_off").alias("cut_off")), "mh-late")
-        fresh = late.join(pairs, ["a", "b"], "left_anti")
-        rank = F.row_number().over(Window.partitionBy("member").orderBy(F.desc("matches"), "a", "b"))
-        taken = cut(fresh.withColumn("rank", rank).where(F.col("rank") <= 2 * most).select("a", "b").distinct(), "mh-taken")
-        if taken.isEmpty():
-            if late.where("cut_off > 0").isEmpty():
-                break
-        else:
-            pairs = pairs.union(taken)
-            links = _verify(taken, docs, params, doc_id, text)
-            edges = edges.union(links)
-            components = connected_components(edges)
-        most *= 64
+    large = large.select("bucket", "doc_id")
+    if not large.isEmpty():
+        late = cut(_unsettled(large, components, docs, params, doc_id, text).distinct(), "mh-late")
+        if not late.isEmpty():
+            components = connected_components(edges.union(late))
     placed = sketches.select("doc_id", "n_shingles").join(components.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -11,9 +11,13 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch in a cut.
+BATCH_ROWS = 1000
+
 _own_dir: dict[str, str] = {}
 _swept: set[str] = set()
 
@@ -43,9 +47,23 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@contextlib.contextmanager
+def _short_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most BATCH_ROWS rows for what is run inside: whole texts may be long, and both sides of the pipe hold a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    own = int(before)
+    spark.conf.set(key, str(min(own, BATCH_ROWS) if own > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes ``df`` to the shared folder and returns it read again."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    with _short_batches(spark):
+        df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
