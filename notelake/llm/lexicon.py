@@ -13,11 +13,12 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Entry:
-    """``stem`` entries match any word that starts with them, exactly; others match whole words with up to ``edits`` edits, the first letter always equal."""
+    """``stem`` entries match any longer word that starts with them, exactly; others match whole words with up to ``edits`` edits, the first letter always equal."""
 
     text: str
     edits: int = 0
     stem: bool = False
+    weight: float = 1.0
 
 
 @dataclass(frozen=True)
@@ -25,6 +26,7 @@ class Match:
     text: str
     edits: int
     stem: bool
+    weight: float
 
 
 def allowed_edits(word: str) -> int:
@@ -39,7 +41,7 @@ class LexiconAutomaton:
         self.word_at: list[Entry | None] = [None]
         self.stem_at: list[Entry | None] = [None]
         self.deepest = [0]
-        for entry in sorted(set(entries), key=lambda e: (e.text, e.stem, e.edits)):
+        for entry in sorted(set(entries), key=lambda e: (e.text, e.stem, e.edits, e.weight)):
             if entry.text:
                 self._insert(entry)
         self._reset()
@@ -73,10 +75,10 @@ class LexiconAutomaton:
             self.index[key] = len(self.sets)
             self.sets.append(nodes)
             self.moves.append({})
-            found = [(e, self.word_at[n].text) for n, e in nodes.items() if self.word_at[n] and e <= self.word_at[n].edits]
-            self.accepts.append(Match(min(found)[1], min(found)[0], False) if found else None)
-            stems = [self.stem_at[n].text for n, e in nodes.items() if self.stem_at[n] and e == 0]
-            self.stems.append(Match(min(stems), 0, True) if stems else None)
+            found = [(e, self.word_at[n].text, self.word_at[n].weight) for n, e in nodes.items() if self.word_at[n] and e <= self.word_at[n].edits]
+            self.accepts.append(Match(min(found)[1], min(found)[0], False, min(found)[2]) if found else None)
+            stems = [self.stem_at[n] for n, e in nodes.items() if self.stem_at[n] and e == 0]
+            self.stems.append(Match(stems[0].text, 0, True, stems[0].weight) if stems else None)
         return self.index[key]
 
     def _move(self, state: int, c: str) -> int | None:
@@ -109,12 +111,13 @@ class LexiconAutomaton:
         return found
 
     def match(self, word: str) -> Match | None:
-        """The entry of fewest edits that the word matches; an exact entry before a stem, a stem before a misspelling."""
+        """The entry of fewest edits that the word matches; an exact entry before a stem, the longest stem before a misspelling."""
         if len(self.sets) > self.most_states:
             self._reset()
         state: int | None = 0
         stem = None
         for c in word:
+            stem = self.stems[state] or stem
             moves = self.moves[state]
             if c in moves:
                 state = moves[c]
@@ -122,6 +125,5 @@ class LexiconAutomaton:
                 state = moves[c] = self._move(state, c)
             if state is None:
                 return stem
-            stem = stem or self.stems[state]
         found = self.accepts[state]
         return found if found and (found.edits == 0 or not stem) else stem

@@ -1,15 +1,17 @@
 """Toxicity scores from a lexicon that survives misspelling, with quotation told from abuse.
 
-Terms come from a short general list and from labelled texts: words, and stems with several endings, found almost
-only in texts labelled toxic and in enough texts that are no copies of one another. Each text's words run through
-the lexicon's Levenshtein automata (``lexicon``); a hit counts by how it was met and by its window: inside
-quotation marks or beside a reporting word, with nobody addressed, it is a quotation. A logistic model on the
-counts, fitted with a prior by Newton's method on a bounded sample of labelled texts, gives the score.
+Terms come from a short general list and from labelled texts: words, and stems of longer words, found in texts
+labelled toxic too often for chance, copies counted once. A term's weight is its log-odds. Each text's words run
+through the lexicon's Levenshtein automata (``lexicon``); a hit counts by its term's weight, by how it was met and
+by its window: inside quotation marks or beside a reporting word, with nobody addressed, it is a quotation. A
+logistic model on the sums, fitted with a prior by Newton's method on a bounded sample of labelled texts, gives
+the score.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -37,19 +39,24 @@ _QUOTES = '"“”„«»'
 _LEET = str.maketrans("0134578@$!|", "oieastbasil")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _FEATURES = 6
-#: The prior's mean: bias, any use, amount of use, any quotation, uses per hundred words, any misspelt use.
-_PRIOR = np.array([-3.0, 3.0, 1.0, 0.5, 0.5, -0.5])
+#: The prior's mean: bias, evidence of all distinct uses, that of the strongest, any quotation, evidence per hundred words, any use that is only misspelt.
+_PRIOR = np.array([-2.5, 0.5, 0.5, 0.5, 0.3, -0.5])
+#: Log-odds of a general term, and the most that a learned term and a whole text count for.
+SEED_WEIGHT, MOST_WEIGHT, MOST_EVIDENCE = 4.0, 8.0, 15.0
 
 
 @dataclass(frozen=True)
 class ToxicityParams:
     #: Most labelled texts that terms and weights are learned from; those of the smallest hash are taken.
     most_labelled: int = 20_000
-    least_texts: int = 8
-    purity: float = 0.95
-    most_terms: int = 4000
-    stem_lengths: tuple[int, ...] = (4, 5, 6)
-    stem_endings: int = 3
+    #: Toxic texts that a term must be found in, and the least share of its texts that must be toxic.
+    least_texts: int = 6
+    purity: float = 0.4
+    #: Nats by which a term's share of toxic texts must stand out: as chance has it, under one term in e^16 does. A stem needs a quarter of it beyond its longer terms.
+    least_gain: float = 16.0
+    #: Most words and stems, those of most toxic texts first, that are counted in the other texts.
+    most_terms: int = 50_000
+    stem_lengths: tuple[int, ...] = (3, 4, 5, 6, 7, 8)
     window: int = 6
     ridge: float = 1.0
 
@@ -72,9 +79,9 @@ class Scanner:
         self.memo = _Memo(self._weight)
 
     def _weight(self, word: str) -> float:
-        """0 for no term; else 1 exactly met, 0.9 by a stem, 0.7 and 0.4 at one and two edits."""
+        """0 for no term; else the term's weight, negative if misspelt and then lessened to 0.7 and 0.4 at one and two edits."""
         found = self.automaton.match(bare(word)) if len(word) <= 64 else None
-        return 0.0 if not found else 0.9 if found.stem else (1.0, 0.7, 0.4)[found.edits]
+        return 0.0 if not found else found.weight * (1.0, -0.7, -0.4)[found.edits]
 
     def features(self, text: str) -> np.ndarray:
         if len(self.memo) > self.most:
@@ -85,10 +92,10 @@ class Scanner:
         if not hits:
             return np.array([1.0, 0, 0, 0, 0, 0])
         quoted = self._quoted(words, hits)
-        use = sum(weights[i] for i, q in zip(hits, quoted, strict=True) if not q)
-        cited = sum(weights[i] for i, q in zip(hits, quoted, strict=True) if q)
-        sure = any(weights[i] >= 0.9 for i, q in zip(hits, quoted, strict=True) if not q)
-        return np.array([1.0, float(use > 0), np.log1p(use), float(cited > 0), np.log1p(100 * use / len(words)), float(use > 0 and not sure)])
+        used = {words[i]: weights[i] for i, q in zip(hits, quoted, strict=True) if not q}
+        use = sum(map(abs, used.values()))
+        sure = any(w > 0 for w in used.values())
+        return np.array([1.0, min(use, MOST_EVIDENCE), max(map(abs, used.values()), default=0.0), float(any(quoted)), np.log1p(100 * use / len(words)), float(use > 0 and not sure)])
 
     def _quoted(self, words: list[str], hits: list[int]) -> list[bool]:
         """For each hit: inside quotation marks, or with a reporting word and no addressing one in its window."""
@@ -135,40 +142,87 @@ def _scanner(model: ToxicityModel) -> Scanner:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, params: ToxicityParams, doc_id: str, text: str, label: str, label_id: str) -> DataFrame:
-    """text, toxic of the labelled texts that learning uses."""
+    """i, text, toxic of the labelled texts that learning uses, and ``alike``, which copies share: the least hash of a text's words, null without any."""
     own = labels.select(F.col(label_id).cast("long").alias("i"), F.col(label).cast("int").alias("toxic")).where("i IS NOT NULL AND toxic IS NOT NULL")
     own = own.orderBy(F.xxhash64("i"), "i", "toxic").limit(params.most_labelled)
-    return cut(docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).cast("string").alias("text")).join(F.broadcast(own), "i").select("text", "toxic").where("text IS NOT NULL"), "tox-sample")
+    found = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).cast("string").alias("text")).join(F.broadcast(own), "i").select("i", "text", "toxic").where("text IS NOT NULL")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [_learnable(t) for t in batch.column(1).to_pylist()]
+            alike = [int(mix(np.array([_hash(w) for w in ws], np.uint64)).min() >> np.uint64(1)) if ws else None for ws in words]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(alike, pa.int64())], names=["i", "text", "toxic", "alike"])
+
+    return cut(found.mapInArrow(run, "i long, text string, toxic int, alike long"), "tox-sample")
 
-def _terms(sample: DataFrame, params: ToxicityParams) -> list[Entry]:
-    """Words and stems that mark toxic texts; texts alike in their least hashed words count as one."""
+
+def _learnable(text: str) -> set[str]:
+    return {w for w in map(bare, set(words_of(text))) if 3 <= len(w) <= 30}
+
+
+def _counted(texts: DataFrame, lengths: tuple[int, ...], wanted: frozenset[tuple[str, bool]] | None = None, most: int = 200_000) -> DataFrame:
+    """term, stem, n: in how many texts each word and stem occurs, or those of them that are wanted. Tasks add up before they emit."""
+    schema = pa.schema([("term", pa.string()), ("stem", pa.bool_()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[tuple[str, bool]] = Counter()
+
+        def emit() -> pa.RecordBatch:
+            rows = [{"term": t, "stem": s, "n": n} for (t, s), n in counts.items()]
+            counts.clear()
+            return pa.RecordBatch.from_pylist(rows, schema=schema)
+
         for batch in batches:
-            out: dict[tuple[str, bool, int, int], None] = {}
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = {w for w in map(bare, set(words_of(text))) if 3 <= len(w) <= 30}
-                if words:
-                    alike = int(mix(np.array([_hash(w) for w in words], np.uint64)).min() % np.uint64(1 << 62))
-                    for w in words:
-                        out[w, False, alike, toxic] = None
-                        for n in params.stem_lengths:
-                            if len(w) > n:
-                                out[w[:n], True, alike, toxic] = None
-            yield pa.RecordBatch.from_pylist([{"term": t, "stem": s, "alike": a, "toxic": x} for t, s, a, x in out], schema=pa.schema([("term", pa.string()), ("stem", pa.bool_()), ("alike", pa.int64()), ("toxic", pa.int32())]))
-
-    seen = sample.mapInArrow(run, "term string, stem boolean, alike long, toxic int").distinct()
-    counts = seen.groupBy("term", "stem").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
-    pure = counts.where((F.col("bad") >= params.least_texts) & (F.col("bad") >= params.purity * F.col("n")))
-    rows = pure.orderBy(F.desc("bad"), "term", "stem").limit(params.most_terms).collect()
-    words = sorted(r["term"] for r in rows if not r["stem"])
-    stems: list[str] = []
-    for stem in sorted((r["term"] for r in rows if r["stem"]), key=lambda s: (len(s), s)):
-        if not any(stem.startswith(s) for s in stems) and sum(w.startswith(stem) for w in words) >= params.stem_endings:
-            stems.append(stem)
-    learned = [Entry(w, allowed_edits(w)) for w in words if not any(w.startswith(s) for s in stems)]
-    return [*(Entry(s, 0, True) for s in stems), *{e.text: e for e in (*learned, *(Entry(w, allowed_edits(w)) for w in SEED_TERMS))}.values()]
+            for text in batch.column(0).to_pylist():
+                words = _learnable(text)
+                found = {(w, False) for w in words} | {(w[:k], True) for w in words for k in lengths if len(w) > k}
+                counts.update(found if wanted is None else found & wanted)
+                if len(counts) > most:
+                    yield emit()
+        yield emit()
+
+    return texts.mapInArrow(run, "term string, stem boolean, n long").groupBy("term", "stem").agg(F.sum("n").alias("n"))
+
+
+def _terms(sample: DataFrame, params: ToxicityParams) -> list[Entry]:
+    """Words and stems that toxic texts hold far more often than chance has it; texts alike and labelled alike count as one."""
+    kept = sample.where("alike IS NOT NULL").groupBy("alike", "toxic").agg(F.min("i").alias("i"))
+    texts = sample.join(F.broadcast(kept.select("i")), "i").dropDuplicates(["i"]).select("text", "toxic")
+    sizes = {bool(r["toxic"]): r["count"] for r in kept.groupBy((F.col("toxic") == 1).alias("toxic")).count().collect()}
+    base = sizes.get(True, 0) / max(sum(sizes.values()), 1)
+    bad: dict[tuple[str, bool], int] = {}
+    good: dict[tuple[str, bool], int] = {}
+    if 0 < base < 1:
+        found = _counted(texts.where("toxic = 1").select("text"), params.stem_lengths).where(F.col("n") >= params.least_texts)
+        bad = {(r["term"], r["stem"]): r["n"] for r in found.orderBy(F.desc("n"), "term", "stem").limit(params.most_terms).collect()}
+        good = {(r["term"], r["stem"]): r["n"] for r in _counted(texts.where("toxic <> 1").select("text"), params.stem_lengths, frozenset(bad)).collect()}
+    sure = {}
+    for key, b in bad.items():
+        n = b + good.get(key, 0)
+        if b >= params.purity * n and n * _divergence(b / n, base) >= params.least_gain:
+            sure[key] = b, n
+    longer: dict[str, tuple[int, int]] = {}  # by stem, the counts of the longer term with most toxic texts
+    for (term, stem), counts in sure.items():
+        for k in range(1, len(term) if stem else len(term) + 1):
+            longer[term[:k]] = max(longer.get(term[:k], (0, 0)), counts)
+    learned: list[Entry] = []
+    stems: set[str] = set()
+    for (term, stem), (b, n) in sorted(sure.items(), key=lambda kv: not kv[0][1]):  # stems first
+        if stem:  # what it says beyond that longer term
+            b, n = b - longer.get(term, (0, 0))[0], max(n - longer.get(term, (0, 0))[1], 1)
+            if n * _divergence(min(b / n, 1.0), base) < params.least_gain / 4:
+                continue
+            stems.add(term)
+        weight = min(float(np.log((b + 0.5) / (max(n - b, 0) + 0.5)) - np.log(base / (1 - base))), MOST_WEIGHT)
+        related = stem or any(term[:k] in stems for k in params.stem_lengths if k < len(term))
+        learned.append(Entry(term, 0 if related else allowed_edits(term), stem, weight))
+    words = {e.text for e in learned if not e.stem}
+    return [*learned, *(Entry(w, allowed_edits(w), weight=SEED_WEIGHT) for w in SEED_TERMS if w not in words)]
+
+
+def _divergence(p: float, q: float) -> float:
+    """Kullback-Leibler divergence of two coins; times the throws, the exponent of a bound on their share's chance. 0 where p is not above q."""
+    return 0.0 if p <= q else p * np.log(p / q) + ((1 - p) * np.log((1 - p) / (1 - q)) if p < 1 else 0.0)
 
 
 def _hash(word: str) -> int:
@@ -187,16 +241,22 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = None
             rows = [scanner.features(t).tolist() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], names=["f", "toxic"])
 
-    rows = sample.mapInArrow(run, "f array<double>, toxic int").groupBy("f", "toxic").count().collect()
+    rows = sample.select("text", "toxic").mapInArrow(run, "f array<double>, toxic int").groupBy("f", "toxic").count().collect()
     x = np.array([r["f"] for r in rows]).reshape(-1, _FEATURES)
     y = np.array([r["toxic"] for r in rows], float)
     n = np.array([r["count"] for r in rows], float)
     w = _PRIOR.copy()
-    for _ in range(25):
+
+    def loss(w: np.ndarray) -> float:
+        return float(n @ (np.logaddexp(0, x @ w) - y * (x @ w)) + params.ridge / 2 * ((w - _PRIOR) ** 2).sum())
+
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (n * (p - y)) + params.ridge * (w - _PRIOR)
         step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + params.ridge * np.eye(_FEATURES), slope)
-        w = w - np.clip(step, -2, 2)
+        while loss(w - step) > loss(w) and np.abs(step).max() > 1e-8:
+            step /= 2
+        w = w - step
         if np.abs(step).max() < 1e-8:
             break
     return ToxicityModel(tuple(entries), tuple(w.tolist()), params.window)
