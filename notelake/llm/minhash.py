@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .bytesets import mix, shingle_hashes, texts_of, words_by_text
 from .components import connected_components
-from .workspace import cut
+from .workspace import cut, let_go
 
 
 @dataclass(frozen=True)
@@ -88,6 +88,7 @@ def sketch(docs: DataFrame, params: MinHashParams, doc_id: str = "doc_id", text:
     """A sketch of each row's whole text, and its sorted shingle hashes if ``sets``; null and blank texts have no set (0 shingles, null keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             ids, sizes, key_a, key_b, bands, sigs, whole = [], [], [], [], [], [], []
             for k, words in enumerate(words_by_text(texts_of(batch.column(1)))):

@@ -18,7 +18,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .rans import Block, Coder, Frequencies
-from .workspace import cut
+from .workspace import cut, held, let_go
 
 #: A word: a contraction, letters, one digit, or a run of what is neither; the tokenizer's own rule without white space.
 _WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
@@ -106,12 +105,6 @@ class _Memo(dict):
         return out
 
 
-@lru_cache(2)
-def _encoder(tokenizer_json: str) -> ChunkEncoder:
-    """A worker's encoder, kept with its memo from task to task."""
-    return ChunkEncoder(tokenizer_json)
-
-
 def read_tokenizer(path: str) -> str:
     """The tokenizer file's text, read on the driver; a vocabulary bounds its size."""
     return Path(path).read_text(encoding="utf-8")
@@ -122,7 +115,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int | None, doc_id: s
     shared = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared.value)
+        encoder = held(shared.value, lambda: ChunkEncoder(shared.value))
         end = b"" if end_id is None else np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
             ids = [encoder.encode(x or "") + end for x in batch.column(1).to_pylist()]
@@ -136,6 +129,7 @@ def count_ids(tokens: DataFrame, size: int, dtype: str) -> np.ndarray:
     """How often each id occurs in all documents; a row per id and task is all that moves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         counts = np.zeros(size, np.int64)
         for batch in batches:
             for ids in batch.column(0).to_pylist():
@@ -164,6 +158,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | N
     shared = spark.sparkContext.broadcast(frequencies.to_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         coder = Coder(Frequencies.from_bytes(shared.value, bits))
         part, number, first = TaskContext.get().partitionId(), 0, 0
         held: list[tuple[int | None, np.ndarray]] = []
@@ -217,6 +212,7 @@ def read_store(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
     shared = spark.sparkContext.broadcast((table, base))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         counts, starts = shared.value
         coder = Coder(Frequencies.from_bytes(counts, bits))
         for batch in batches:

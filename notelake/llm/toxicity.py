@@ -14,7 +14,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .bytesets import mix
 from .lexicon import Entry, LexiconAutomaton, allowed_edits
-from .workspace import cut
+from .workspace import cut, held
 
 # General insults that need no labelled text to be known.
 SEED_TERMS = (
@@ -135,12 +134,6 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(features @ np.array(self.weights), -30, 30))))
 
 
-@lru_cache(2)
-def _scanner(model: ToxicityModel) -> Scanner:
-    """A worker's scanner, kept with its memo from task to task."""
-    return model.scanner()
-
-
 def _sample(docs: DataFrame, labels: DataFrame, params: ToxicityParams, doc_id: str, text: str, label: str, label_id: str) -> DataFrame:
     """i, text, toxic of the labelled texts that learning uses, and ``alike``, which copies share: the least hash of a text's words, null without any."""
     own = labels.select(F.col(label_id).cast("long").alias("i"), F.col(label).cast("int").alias("toxic")).where("i IS NOT NULL AND toxic IS NOT NULL")
@@ -270,7 +263,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        scanner = _scanner(model)
+        scanner = held(model, model.scanner)
         for batch in batches:
             scores = [model.score(scanner.features(t or "")) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())], names=[*keep, "__score"])

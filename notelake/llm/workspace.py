@@ -11,7 +11,8 @@ import atexit
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,22 @@ _own_dir: dict[str, str] = {}
 _swept: set[str] = set()
 
 
+_held: dict[Any, Any] = {}
+
+
+def held(key: Any, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task under ``key``. It keeps one thing at a time, as workers outlive stages and share an executor's memory."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def let_go() -> None:
+    """Frees what an earlier stage's tasks kept in this worker."""
+    _held.clear()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for this application's cuts, below ``spark.checkpoint.dir``; a local temporary one only where that is unset, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
