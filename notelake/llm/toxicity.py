@@ -10,6 +10,7 @@ the score.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -20,7 +21,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytesets import mix
 from .lexicon import Entry, LexiconAutomaton, allowed_edits
 from .workspace import cut, held
 
@@ -135,7 +135,7 @@ class ToxicityModel:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, params: ToxicityParams, doc_id: str, text: str, label: str, label_id: str) -> DataFrame:
-    """i, text, toxic of the labelled texts that learning uses, and ``alike``, which copies share: the least hash of a text's words, null without any."""
+    """i, text, toxic of the labelled texts that learning uses, and ``alike``, which only copies share: a hash of the whole set of a text's words, null without any."""
     own = labels.select(F.col(label_id).cast("long").alias("i"), F.col(label).cast("int").alias("toxic")).where("i IS NOT NULL AND toxic IS NOT NULL")
     own = own.orderBy(F.xxhash64("i"), "i", "toxic").limit(params.most_labelled)
     found = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).cast("string").alias("text")).join(F.broadcast(own), "i").select("i", "text", "toxic").where("text IS NOT NULL")
@@ -143,10 +143,10 @@ def _sample(docs: DataFrame, labels: DataFrame, params: ToxicityParams, doc_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [_learnable(t) for t in batch.column(1).to_pylist()]
-            alike = [int(mix(np.array([_hash(w) for w in ws], np.uint64)).min() >> np.uint64(1)) if ws else None for ws in words]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(alike, pa.int64())], names=["i", "text", "toxic", "alike"])
+            alike = [_set_key(ws) if ws else None for ws in words]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(alike, pa.binary())], names=["i", "text", "toxic", "alike"])
 
-    return cut(found.mapInArrow(run, "i long, text string, toxic int, alike long"), "tox-sample")
+    return cut(found.mapInArrow(run, "i long, text string, toxic int, alike binary"), "tox-sample")
 
 
 def _learnable(text: str) -> set[str]:
@@ -178,7 +178,7 @@ def _counted(texts: DataFrame, lengths: tuple[int, ...], wanted: frozenset[tuple
 
 
 def _terms(sample: DataFrame, params: ToxicityParams) -> list[Entry]:
-    """Words and stems that toxic texts hold far more often than chance has it; texts alike and labelled alike count as one."""
+    """Words and stems that toxic texts hold far more often than chance has it; texts of the same words that are labelled alike count as one."""
     kept = sample.where("alike IS NOT NULL").groupBy("alike", "toxic").agg(F.min("i").alias("i"))
     texts = sample.join(F.broadcast(kept.select("i")), "i").dropDuplicates(["i"]).select("text", "toxic")
     sizes = {bool(r["toxic"]): r["count"] for r in kept.groupBy((F.col("toxic") == 1).alias("toxic")).count().collect()}
@@ -218,8 +218,9 @@ def _divergence(p: float, q: float) -> float:
     return 0.0 if p <= q else p * np.log(p / q) + ((1 - p) * np.log((1 - p) / (1 - q)) if p < 1 else 0.0)
 
 
-def _hash(word: str) -> int:
-    return int.from_bytes(word.encode("utf-8", "surrogatepass")[:24].ljust(8, b"\0"), "little") * 0x9E3779B97F4A7C15 % (1 << 64)
+def _set_key(words: set[str]) -> bytes:
+    """128 bits of the whole set of words; they hold letters only, so a line each parts them."""
+    return hashlib.blake2b("\n".join(sorted(words)).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = None, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", label_id: str = "doc_id") -> ToxicityModel:

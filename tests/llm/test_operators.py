@@ -160,6 +160,18 @@ def test_toxicity_learns_and_tells_quotation(spark):
     assert toxicity.score(docs.limit(0), empty).count() == 0
 
 
+def test_toxicity_counts_every_text_but_copies(spark):
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefghijklm") for _ in range(6)) for _ in range(30)]
+    texts = [" ".join(r.sample(words, 12)) for _ in range(120)]
+    copies = [t.upper() + " !" for t in texts[:40]]
+    labels = spark.createDataFrame([(k, 1) for k in range(160)], "doc_id long, toxic int")
+    rows = toxicity._sample(docs_of(spark, [*texts, *copies]), labels, toxicity.ToxicityParams(), "doc_id", "text", "toxic", "doc_id").collect()
+    alike = {x["i"]: x["alike"] for x in rows}
+    assert len(alike) == 160 and len(set(alike.values())) == len({frozenset(t.split()) for t in texts})
+    assert all(alike[k] == alike[120 + k] for k in range(40))
+
+
 def test_quality(spark):
     good = ["The river ran past the old mill and nobody came to see it that day or the next." + str(k) for k in range(60)]
     junk = ["### buy $$$ now %%% ### " * 6 + str(k) for k in range(60)]
