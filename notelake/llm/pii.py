@@ -165,19 +165,24 @@ def _windows(text: str) -> Iterator[tuple[int, int]]:
     """Stretches of the text, from blank to blank, outside which no value can lie."""
     lo = hi = -1
     for m in _ANCHOR.finditer(text):
-        p = m.start()
-        if p < hi:
+        first, last = m.span()
+        if m[0] in "=:":  # any number of blanks may part the sign of a secret from its name and its value
+            while first > 0 and text[first - 1].isspace():
+                first -= 1
+            while last < len(text) and text[last].isspace():
+                last += 1
+        near = min(len(text), last + _NEAR)
+        if near <= hi:
             continue
-        start = max(0, p - _NEAR)
-        while start > 0 and not text[start - 1].isspace():
-            start -= 1
-        blank = _BLANK.search(text, min(len(text), p + _NEAR))
-        end = blank.start() if blank else len(text)
+        start = max(0, first - _NEAR)
         if start > hi:
+            while start > hi + 1 and not text[start - 1].isspace():
+                start -= 1
             if hi >= 0:
                 yield lo, hi
             lo = start
-        hi = end
+        blank = _BLANK.search(text, near)
+        hi = blank.start() if blank else len(text)
     if hi >= 0:
         yield lo, hi
 

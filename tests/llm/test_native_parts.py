@@ -122,6 +122,18 @@ def test_pii_is_found_and_linked():
     assert pii.redact("", p) == ("", []) and pii.redact("plain", p) == ("plain", [])
 
 
+def test_pii_windows_lose_no_value(monkeypatch):
+    r = random.Random(8)
+    texts = ["1 " + "a " * 46 + "password: correcthorsebattery", "token" + " " * 300 + "=" + "\n" * 300 + "'correcthorsebattery' x", "password: " + "a" * 500 + " 1"]
+    texts += ["1 " + "a" * (k % 3) + "a " * (k // 2) + " " * (k % 2) + "password: correcthorsebattery" for k in range(200)]
+    parts = ["a ", "word ", "1", "=", " : ", " ", "\n" * 90, "token", "secret =", "correcthorsebattery", "4463724487863232", "x" * 70, "a.34@mail0.example.com", " 173.33.203.46", "(980) 555-6268 ", "2024-02-28"]
+    texts += ["".join(r.choices(parts, k=r.randint(1, 60))) for _ in range(2000)]
+    found = [pii.find(t) for t in texts]
+    monkeypatch.setattr(pii, "_windows", lambda text: iter([(0, len(text))]))
+    assert found == [pii.find(t) for t in texts]
+    assert all(f and f[-1][2] == "secret" for f in found[:203])
+
+
 def test_html_blocks_and_labels():
     page = "<html><head><title>T</title><script>var t='</p>';</script></head><body><nav><a href='/'>Menu</a></nav><div class='ad'>Buy &amp; go now please.</div><article><h1>Head\n line</h1><p><b>One &amp; two words here.<br><p>Three &lt; four.</p></article><section class='comments'><p>Nice post, thanks a lot.</p></section><footer>&copy; x</footer>"
     found = blocks(page)
