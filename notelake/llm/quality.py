@@ -48,7 +48,7 @@ def features(text: str) -> list[float]:
     run = 0
     for a, b in zip(words, words[1:], strict=False):
         run += a == b
-    upper = sum(map(str.isupper, words)) if text[:4000] != text[:4000].lower() else 0
+    upper = sum(map(str.isupper, words))
     signs = len(_SYMBOLS.findall(text))
     return [
         1.0,

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from notelake.llm import decontaminate, embed_dedup, html_extract, html_train, minhash, pii
+from notelake.llm import decontaminate, embed_dedup, html_extract, html_train, minhash, pii, quality
 from notelake.llm.bytesets import shingle_hashes, words_by_text
 from notelake.llm.html_blocks import blocks
 from notelake.llm.html_model import BiLstm
@@ -134,6 +134,12 @@ def test_pii_windows_lose_no_value(monkeypatch):
     assert all(f and f[-1][2] == "secret" for f in found[:203])
 
 
+def test_capitals_are_counted_in_the_whole_text():
+    at = quality.FEATURES.index("capitals")
+    assert quality.features("lower case words " * 300 + "SHOUTED JUNK " * 450)[at] == 0.5
+    assert quality.features("lower case words " * 300)[at] == 0 and quality.features("\U0001d400\U0001d401 bold")[at] == 0.5
+
+
 def test_html_blocks_and_labels():
     page = "<html><head><title>T</title><script>var t='</p>';</script></head><body><nav><a href='/'>Menu</a></nav><div class='ad'>Buy &amp; go now please.</div><article><h1>Head\n line</h1><p><b>One &amp; two words here.<br><p>Three &lt; four.</p></article><section class='comments'><p>Nice post, thanks a lot.</p></section><footer>&copy; x</footer>"
     found = blocks(page)
