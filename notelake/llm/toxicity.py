@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,8 @@ ADDRESSING = frozenset("you your youre you're yourself u ur du dein deine dich i
 
 _QUOTES = '"“”„«»'
 _LEET = str.maketrans("0134578@$!|", "oieastbasil")
-_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+_JOINED = re.compile(r"[-_/\u2010-\u2015]+")
+_MARKS = re.compile(r"[\W_]*")
 _FEATURES = 6
 #: The prior's mean: bias, evidence of all distinct uses, that of the strongest, any quotation, evidence per hundred words, any use that is only misspelt.
 _PRIOR = np.array([-2.5, 0.5, 0.5, 0.5, 0.3, -0.5])
@@ -53,7 +55,7 @@ class ToxicityParams:
     purity: float = 0.4
     #: Nats by which a term's share of toxic texts must stand out: as chance has it, under one term in e^16 does. A stem needs a quarter of it beyond its longer terms.
     least_gain: float = 16.0
-    #: Most words and stems, those of most toxic texts first, that are counted in the other texts.
+    #: Words and stems of toxic texts that one scan counts in the other texts; more are taken in further scans.
     most_terms: int = 50_000
     stem_lengths: tuple[int, ...] = (3, 4, 5, 6, 7, 8)
     window: int = 6
@@ -66,7 +68,10 @@ def words_of(text: str) -> list[str]:
 
 def bare(word: str) -> str:
     """A word without marks at its ends, its digits and signs read as the letters they stand for."""
-    word = _EDGES.sub("", word)
+    if word.isalpha():
+        return word
+    word = word[_MARKS.match(word).end() :]
+    word = word[: len(word) - _MARKS.match(word[::-1]).end()]
     return word if word.isalpha() else "".join(c for c in word.translate(_LEET) if c.isalpha()) if any(c.isalpha() for c in word) else ""
 
 
@@ -79,14 +84,16 @@ class Scanner:
 
     def _weight(self, word: str) -> float:
         """0 for no term; else the term's weight, negative if misspelt and then lessened to 0.7 and 0.4 at one and two edits."""
-        found = self.automaton.match(bare(word)) if len(word) <= 64 else None
+        found = self.automaton.match(bare(word))
+        if not found and not word.isalnum():  # words joined by marks: the weightiest counts
+            return max((self._weight(w) for w in _JOINED.split(word) if w and w != word), key=abs, default=0.0)
         return 0.0 if not found else found.weight * (1.0, -0.7, -0.4)[found.edits]
 
     def features(self, text: str) -> np.ndarray:
         if len(self.memo) > self.most:
             self.memo.clear()
         words = words_of(text)
-        weights = list(map(self.memo.__getitem__, words))
+        weights = [self.memo[w] if len(w) <= 64 else self._weight(w) for w in words]  # long ones would fill the memo
         hits = [i for i, w in enumerate(weights) if w]
         if not hits:
             return np.array([1.0, 0, 0, 0, 0, 0])
@@ -183,17 +190,17 @@ def _terms(sample: DataFrame, params: ToxicityParams) -> list[Entry]:
     texts = sample.join(F.broadcast(kept.select("i")), "i").dropDuplicates(["i"]).select("text", "toxic")
     sizes = {bool(r["toxic"]): r["count"] for r in kept.groupBy((F.col("toxic") == 1).alias("toxic")).count().collect()}
     base = sizes.get(True, 0) / max(sum(sizes.values()), 1)
-    bad: dict[tuple[str, bool], int] = {}
-    good: dict[tuple[str, bool], int] = {}
+    sure: dict[tuple[str, bool], tuple[int, int]] = {}
     if 0 < base < 1:
         found = _counted(texts.where("toxic = 1").select("text"), params.stem_lengths).where(F.col("n") >= params.least_texts)
-        bad = {(r["term"], r["stem"]): r["n"] for r in found.orderBy(F.desc("n"), "term", "stem").limit(params.most_terms).collect()}
-        good = {(r["term"], r["stem"]): r["n"] for r in _counted(texts.where("toxic <> 1").select("text"), params.stem_lengths, frozenset(bad)).collect()}
-    sure = {}
-    for key, b in bad.items():
-        n = b + good.get(key, 0)
-        if b >= params.purity * n and n * _divergence(b / n, base) >= params.least_gain:
-            sure[key] = b, n
+        others = texts.where("toxic <> 1").select("text")
+        for rows in batched(cut(found, "tox-terms").toLocalIterator(), params.most_terms):
+            bad = {(r["term"], r["stem"]): r["n"] for r in rows}
+            good = {(r["term"], r["stem"]): r["n"] for r in _counted(others, params.stem_lengths, frozenset(bad)).collect()}
+            for key, b in bad.items():
+                n = b + good.get(key, 0)
+                if b >= params.purity * n and n * _divergence(b / n, base) >= params.least_gain:
+                    sure[key] = b, n
     longer: dict[str, tuple[int, int]] = {}  # by stem, the counts of the longer term with most toxic texts
     for (term, stem), counts in sure.items():
         for k in range(1, len(term) if stem else len(term) + 1):

@@ -172,6 +172,20 @@ def test_toxicity_counts_every_text_but_copies(spark):
     assert all(alike[k] == alike[120 + k] for k in range(40))
 
 
+def test_toxicity_has_no_longest_word_and_no_most_terms(spark):
+    scanner = toxicity.Scanner(toxicity._terms(spark.createDataFrame([], "i long, text string, toxic int, alike binary"), toxicity.ToxicityParams()), 6)
+    for token in ("idiot" + "!" * 60, "!" * 100 + "idiot", "-".join(["you", "are", "an", "idiot"] * 9), "who_is_this/moron/" * 9, "you-idiot"):
+        assert scanner.features(token)[1] > 0, token
+    assert scanner.features("a" + "!" * 300_000 + "b")[1] == 0
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdefghijklm") for _ in range(6)) for _ in range(80)]
+    texts = [" ".join([*r.sample(words, 40), *(["zorbak"] if k < 30 and k % 3 else [])]) for k in range(90)]
+    rows = [(k, t, int(k < 30), bytes([k])) for k, t in enumerate(texts)]
+    sample = spark.createDataFrame(rows, "i long, text string, toxic int, alike binary")
+    of = lambda most: set(toxicity._terms(sample, toxicity.ToxicityParams(most_terms=most)))
+    assert of(60) == of(50_000) and any(e.text.startswith("zor") for e in of(60))
+
+
 def test_quality(spark):
     good = ["The river ran past the old mill and nobody came to see it that day or the next." + str(k) for k in range(60)]
     junk = ["### buy $$$ now %%% ### " * 6 + str(k) for k in range(60)]
