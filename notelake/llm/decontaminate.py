@@ -4,7 +4,8 @@ A seed mask is laid on a run of words and hashes only the words under its ones,
 goes unnoticed. Hashes of all placements on the benchmark's items are joined with those on every text; around
 each hit the item is aligned to the text and the longest overlap is kept in which at least ``similarity`` of the
 words agree. The four masks leave no window of 15 words with up to 3 substitutions, nor one of 13 with up to 2,
-without a hit (a test enumerates them).
+without a hit (a test enumerates them). Items under 13 words are cut into one piece more than words of them may
+differ, and each piece is hashed. An item of up to 13 words counts as a whole, its changed ends included.
 
 The benchmark is a stated query set: it is taken in blocks of at most ``block_seeds`` seeds, each broadcast to
 one scan of the texts, so what is broadcast is bounded whatever the benchmark's size.
@@ -25,6 +26,8 @@ from .bytesets import mix
 # The seed masks.
 MASKS = ("1010101011", "10110001011", "11101101", "11000100111")
 
+#: Words from which on no window with as many substitutions as may be is left without a hit.
+_MASKED = 13
 _BITS = 22
 
 
@@ -100,6 +103,13 @@ def seeds_of(words: np.ndarray, mask: str) -> np.ndarray:
     return mix(out)
 
 
+def _short_seeds(n: int, similarity: float) -> list[tuple[str, int, int]]:
+    """Masks of an item of ``n`` words, and the words from and to which each is laid: one piece more than words may differ, so one is left whole."""
+    pieces = min(n, int(n * (1 - similarity) + 1e-9) + 1)
+    ends = [n * k // pieces for k in range(pieces + 1)]
+    return [("1" * (hi - lo), lo, hi) for lo, hi in zip(ends, ends[1:], strict=False)]
+
+
 class Probe:
     """Finds the items of one benchmark block in texts."""
 
@@ -110,14 +120,15 @@ class Probe:
         for k, (_, words) in enumerate(items):
             if len(words) < params.least_item:
                 continue
-            # An item that not every mask fits on is also hashed whole.
-            masks = MASKS if len(words) >= max(map(len, MASKS)) else (*MASKS, "1" * len(words))
-            short |= set(masks) - set(MASKS)
-            for mask in masks:
-                own = seeds_of(words, mask)
+            n = len(words)
+            laid = _short_seeds(n, params.similarity) if n < max(_MASKED, params.least_words) else []
+            laid += [(m, 0, n) for m in MASKS] if n >= params.least_words else []
+            for mask, lo, hi in laid:
+                own = seeds_of(words[lo:hi], mask)
                 seeds.append(own)
                 item.append(np.full(len(own), k))
-                at.append(np.arange(len(own)))
+                at.append(np.arange(lo, lo + len(own)))
+                short |= {mask} - set(MASKS)
         self.masks = (*MASKS, *sorted(short))
         self.seeds = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
         order = np.argsort(self.seeds, kind="stable")
@@ -148,13 +159,19 @@ class Probe:
         return [best[k] for k in sorted(best)]
 
     def _overlap(self, words: np.ndarray, k: int, shift: int) -> tuple | None:
-        """The longest window of the item, laid on the text at ``shift``, with enough equal words; its ends are equal words."""
+        """The longest window of the item, laid on the text at ``shift``, with enough equal words; its ends are equal words. Of an item no longer than ``least_words`` all words count."""
         item_id, own = self.items[k]
         lo, hi = max(0, -shift), min(len(own), len(words) - shift)
         need = min(len(own), self.params.least_words)
         if hi - lo < need:
             return None
         equal = own[lo:hi] == words[lo + shift : hi + shift]
+        if need == len(own):  # the item as a whole; only its own changed ends are left out
+            same = np.flatnonzero(equal)
+            if len(same) < max(1, self.params.similarity * need - 1e-9):
+                return None
+            i, j = int(same[0]), int(same[-1]) + 1
+            return item_id, len(own), i + shift, i, j - i, len(same)
         # A window (i, j] has enough equal words if this walk is no lower at its end than at its start.
         walk = np.concatenate(([0.0], np.cumsum(equal - self.params.similarity)))
         lowest = np.minimum.accumulate(walk)

@@ -72,6 +72,21 @@ def test_decontamination_against_brute_force():
         assert not probe.find(" ".join(text))
 
 
+def test_decontamination_of_short_items():
+    params = decontaminate.DecontaminationParams()
+    for n in range(4, 14):
+        item = [f"w{k}" for k in range(n)]
+        probe = decontaminate.Probe([(7, decontaminate.words_of(" ".join(item)))], params)
+        for k in range(4):
+            for changed in itertools.combinations(range(n), k):
+                copy = ["zz" if at in changed else w for at, w in enumerate(item)]
+                kept = [at for at in range(n) if at not in changed]
+                found = probe.find(" ".join(["x", "y", *copy, "x"]))
+                whole = 5 * len(kept) >= 4 * n
+                assert found == ([(7, n, 2 + kept[0], kept[0], kept[-1] + 1 - kept[0], len(kept))] if whole else []), (n, changed)
+        assert not probe.find(" ".join(item[1:])) and not probe.find(" ".join(item[:-1]))
+
+
 def distance(a: str, b: str) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
