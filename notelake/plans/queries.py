@@ -154,7 +154,7 @@ def slug(s, d):
 
 @query(r"""WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(substr(text, 1, 400), '[\\/:*?"<>|#^\[\]]', '-', 'g'), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS t FROM documents) SELECT doc_id, CASE WHEN regexp_replace(substr(t, 1, 150), '^\s+|\s+$', '', 'g') = '' THEN 'untitled' ELSE regexp_replace(substr(t, 1, 150), '^\s+|\s+$', '', 'g') END AS name FROM c""")
 def sanitize_filename(s, d):
-    return T(s, d, "documents").select("doc_id", text.sanitize_filename(F.substring("text", 1, 400)).alias("name"))
+    return T(s, d, "documents").select("doc_id", text.sanitize_filename(F.col("text")).alias("name"))
 
 
 @query(r"SELECT p_partkey, lower(regexp_replace(regexp_replace(' ' || upper(p_name), '^\s+|\s+$', '', 'g'), '\s+', '-', 'g')) AS tag FROM part")

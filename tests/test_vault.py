@@ -86,6 +86,13 @@ def test_text_functions(spark):
     assert one(spark, text.role_alias(lit("Mail (work)"))) == "email"
 
 
+def test_sanitize_filename_sees_the_whole_text(spark, tmp_path):
+    from notelake.plans.queries import QUERIES
+
+    spark.createDataFrame([(1, " " * 500 + "a  name"), (2, "a" + " " * 500 + "b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["name"] for r in QUERIES["sanitize_filename"](spark, str(tmp_path)).collect()} == {1: "a name", 2: "a b"}
+
+
 def test_dates(spark):
     d = F.lit(dt.date(2026, 1, 1))
     assert one(spark, dates.week_start(d)) == dt.date(2025, 12, 28)
