@@ -15,6 +15,7 @@ that any store Spark can write serves, and a lost task rewrites its own part.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -22,6 +23,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,11 +32,14 @@ from tokenizers import Tokenizer
 from .rans import Block, Coder, Frequencies
 from .workspace import cut, held, let_go
 
-#: A word: a contraction, letters, one digit, or a run of what is neither; the tokenizer's own rule without white space.
-_WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+#: A word: a contraction, letters, one digit, or a run of what is neither; the tokenizer's own rule without white space. A line end parts chunks.
+_WORDS = re.compile(r"\n|'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+
+# The splitting rule for which chunks are known to be told alike.
+_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 #: Chunks of these characters only have their words and cases told alike by both libraries: printable ASCII and Latin letters.
-_LATIN = re.compile("[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
+_NOT_LATIN = re.compile("[^\n\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]")
 
 
 def _byte_letters() -> str:
@@ -51,58 +56,101 @@ BLOCKS = "part int, block int, first long, doc_ids array<long>, doc_tokens array
 
 
 class ChunkEncoder:
-    """Ids of whole texts, by the tokenizer, one chunk between ASCII blanks at a time, through a bounded memo.
+    """Ids of whole texts, by the tokenizer, through bounded memos of chunks and words.
 
-    Neither the normalizer nor the splitting rule joins anything across a blank, so the ids of a text are those
-    of its chunks. A chunk of Latin letters goes to the vocabulary model word by word; any other goes to the
-    whole tokenizer.
+    Neither the normalizer nor the splitting rule of the rule known here joins anything across an ASCII blank, so
+    the ids of a text are those of the chunks between blanks. Arrow splits a slab of texts and numbers its distinct
+    chunks; only those that no memo holds are encoded, a chunk of Latin letters word by word by the vocabulary
+    model, any other by the whole tokenizer. Under any other rule texts go to the tokenizer whole.
     """
 
     def __init__(self, tokenizer_json: str, most: int = 600_000) -> None:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.dtype = np.dtype("<u2" if self.size < 1 << 16 else "<u4")
         self.width, self.model = self.dtype.itemsize, self.tokenizer.model
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.plain = self._has_known_rule(tokenizer_json)
-        self.most, self.words = most, {}
-        self.chunks = _Memo(self._chunk)
+        self.plain = self._has_known_rule(json.loads(tokenizer_json))
+        #: Stands for the end of a chunk among ids; no id has all its bits set.
+        self.stop = b"\xff" * self.width
+        self.most, self.chunks, self.words = most, {"": b""}, {"\n": self.stop}
 
     @staticmethod
-    def _has_known_rule(tokenizer_json: str) -> bool:
-        return all(x in tokenizer_json for x in ('"end_of_word_suffix":"</w>"', '"type":"Lowercase"', r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"))
-
-    def _chunk(self, chunk: str) -> bytes:
-        if not self.plain or len(chunk) > 200 or not _LATIN.fullmatch(chunk) or any(t in chunk for t in self.added):
-            return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.dtype).tobytes()
-        words = self.words
-        return b"".join([words.get(w) or self._word(w) for w in _WORDS.findall(chunk.lower())])
-
-    def _word(self, word: str) -> bytes:
-        spelt = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
-        out = b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(spelt)])
-        self.words[word] = out
+    def _has_known_rule(rule: dict) -> bool:
+        """Whether normalizer, splitting and model are those that chunks may be told by; added tokens must not reach over blanks."""
+        steps = [x.get("type") for x in (rule.get("normalizer") or {}).get("normalizers", [])]
+        parts = (rule.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        split = [x.get("type") for x in parts] == ["Split", "ByteLevel"] and parts[0]["pattern"].get("Regex", "") == _RULE and parts[0].get("invert") and parts[0]["behavior"] == "Removed"
+        model = rule.get("model", {})
+        added = all(not t["lstrip"] and not t["rstrip"] and not re.search(r"\s", t["content"]) for t in rule.get("added_tokens", []))
+        return bool(steps == ["NFC", "Replace", "Lowercase"] and split and not parts[1].get("add_prefix_space") and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and added)
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        """Puts the ids of words of Latin letters and signs into the memo."""
+        tokens = [self.model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_LETTERS)) for w in words]
+        ids = self._packed([t.id for own in tokens for t in own])
+        lo = 0
+        for word, own in zip(words, tokens, strict=True):
+            hi = lo + len(own) * self.width
+            self.words[word] = ids[lo:hi]
+            lo = hi
+
+    def _encoded(self, chunks: list[str]) -> list[bytes]:
+        """The ids of chunks, which hold no blanks."""
+        if not chunks:
+            return []
+        whole = "\n".join(chunks) + "\n"
+        other = [m.start() for m in _NOT_LATIN.finditer(whole)]
+        odd = set(np.searchsorted(np.cumsum([len(c) + 1 for c in chunks]), other, "right").tolist()) if other else set()
+        if any(t in whole for t in self.added):
+            odd |= {k for k, c in enumerate(chunks) if any(t in c for t in self.added)}
+        if odd:
+            whole = "".join([("" if k in odd else c) + "\n" for k, c in enumerate(chunks)])
+        # The words of all chunks at once, a line end after each chunk.
+        found = _WORDS.findall(whole.lower())
+        self._learn(list(set(found).difference(self.words)))
+        ids = b"".join(map(self.words.__getitem__, found))
+        ends = (np.flatnonzero(np.frombuffer(ids, self.dtype) == np.frombuffer(self.stop, self.dtype)[0]) * self.width).tolist()
+        out = [ids[lo:hi] for lo, hi in zip([0, *(e + self.width for e in ends)], ends, strict=False)]
+        for k in odd:
+            out[k] = self._packed(self.tokenizer.encode(chunks[k], add_special_tokens=False).ids)
         return out
 
-    def encode(self, text: str) -> bytes:
-        if len(self.chunks) > self.most:
-            self.chunks.clear()
+    def encode_all(self, texts: pa.StringArray, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, ``end`` after each, and how many each text has. Null texts are empty."""
+        if not self.plain:
+            own = [self._packed(e.ids) + end for e in self.tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+            return np.frombuffer(b"".join(own), self.dtype), np.array([len(x) // self.width for x in own], np.int64)
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py() if len(lists) else np.zeros(1, np.int64)
+        numbered = lists.flatten().dictionary_encode()
+        distinct = _strings(numbered.dictionary)
         if len(self.words) > self.most:
-            self.words.clear()
-        parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return b"".join(map(self.chunks.__getitem__, parts))
-
-
-class _Memo(dict):
-    def __init__(self, make) -> None:
-        super().__init__({"": b""})
-        self._make = make
+            self.words = {"\n": self.stop}
+        if len(self.chunks) > self.most:
+            self.chunks = {"": b""}
+        # The chunks' ids in one run, the end of a document as the last of them.
+        spelt = [*map(self.chunks.get, distinct), end]
+        new = [k for k, x in enumerate(spelt) if x is None]
+        for k, x in zip(new, self._encoded([distinct[k] for k in new]), strict=True):
+            spelt[k] = x
+            if len(distinct[k]) <= 64:
+                self.chunks[distinct[k]] = x
+        flat = np.frombuffer(b"".join(spelt), self.dtype)
+        sizes = np.fromiter(map(len, spelt), np.int64, len(spelt)) // self.width
+        begins = np.cumsum(sizes) - sizes
+        order = np.insert(numbered.indices.to_numpy().astype(np.int64), bounds[1:], len(distinct))
+        lengths = sizes[order]
+        reached = np.cumsum(lengths)
+        ids = flat[np.repeat(begins[order] - reached + lengths, lengths) + np.arange(reached[-1] if len(reached) else 0)]
+        marks = np.concatenate(([0], reached))[bounds + np.arange(len(bounds))]
+        return ids, np.diff(marks)
 
-    def __missing__(self, key: str) -> bytes:
-        out = self._make(key)
-        if len(key) <= 64:
-            self[key] = out
-        return out
+    def encode(self, text: str) -> bytes:
+        return self.encode_all(pa.array([text], pa.string()))[0].tobytes()
 
 
 def read_tokenizer(path: str) -> str:
@@ -118,13 +166,32 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int | None, doc_id: s
         encoder = held(shared.value, lambda: ChunkEncoder(shared.value))
         end = b"" if end_id is None else np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
-            ids = [encoder.encode(x or "") + end for x in batch.column(1).to_pylist()]
-            counts = [len(x) // encoder.dtype.itemsize for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            for at, size in _slabs(batch.column(1)):
+                ids, counts = encoder.encode_all(batch.column(1).slice(at, size), end)
+                ends = np.concatenate(([0], np.cumsum(counts) * encoder.width)).astype("<i4")
+                packed = pa.BinaryArray.from_buffers(pa.binary(), size, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(ids))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, size), pa.array(counts, pa.int64()), packed], names=["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, TOKENS)
 
 
+def _strings(column: pa.StringArray) -> list[str]:
+    """The strings of a column without nulls whose strings hold no line end."""
+    if not len(column):
+        return []
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column), "\n")[0].as_py().split("\n")
+
+
+def _slabs(texts: pa.StringArray, most: int = 1 << 23) -> Iterator[tuple[int, int]]:
+    """Bounds (start, number) of runs of texts that end with the text that takes them to ``most`` bytes; an index per id is held for one run at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        stop = min(len(ends), int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most)) + 1)
+        yield at, stop - at
+        at = stop
+
+
 def count_ids(tokens: DataFrame, size: int, dtype: str) -> np.ndarray:
     """How often each id occurs in all documents; a row per id and task is all that moves."""
 
@@ -132,10 +199,11 @@ def count_ids(tokens: DataFrame, size: int, dtype: str) -> np.ndarray:
         let_go()
         counts = np.zeros(size, np.int64)
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                counts += np.bincount(np.frombuffer(ids, dtype), minlength=size) if len(ids) > size else 0
-            small = b"".join(x for x in batch.column(0).to_pylist() if len(x) <= size)
-            counts += np.bincount(np.frombuffer(small, dtype), minlength=size)
+            column = batch.column(0)
+            if len(column):
+                _, offsets, data = column.buffers()
+                lo, hi = np.frombuffer(offsets, "<i4")[[column.offset, column.offset + len(column)]]
+                counts += np.bincount(np.frombuffer(data, np.uint8)[lo:hi].view(dtype), minlength=size)
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(counts[seen])], names=["id", "n"])
 
