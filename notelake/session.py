@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -38,7 +39,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own_base: dict[str, str] = {}
+
+
+def shared_base(spark: SparkSession) -> str:
+    """The folder that all executors share, ``spark.checkpoint.dir``. Where it is unset, a session of one machine gets a temporary folder; any other would split its data over local disks, so it raises."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if base:
+        return base.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_base.get(context.applicationId) or _own_base.setdefault(context.applicationId, tempfile.mkdtemp(prefix="notelake-"))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder all executors share (``spark.checkpoint.dir``); a local temporary one only where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="notelake-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path in the folder all executors share."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex[:12]}"
