@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .workspace import cut
+from .workspace import column, cut
 
 
 @dataclass(frozen=True)
@@ -35,9 +35,23 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.size(F.filter(F.split(text, r"[ \t\n\r\f\x0B]+"), lambda w: w != "")), F.lit(0)).cast("long")
 
 
+def counted(docs: DataFrame, params: MixingParams, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """source, key, tokens of each row, written once: the only pass over the texts that the plan needs."""
+    return cut(docs.select(column(source).cast("string").alias("source"), _key(params, source, doc_id).alias("key"), word_count(column(text)).alias("tokens")), "mix-counted")
+
+
+def _key(params: MixingParams, source: str, doc_id: str) -> Column:
+    """A row's place in its source's permutation."""
+    return F.md5(F.concat_ws("/", F.lit(params.seed), F.coalesce(column(source).cast("string"), F.lit("")), F.coalesce(column(doc_id).cast("string"), F.lit(""))))
+
+
 def shares(docs: DataFrame, source: str = "source", text: str = "text") -> DataFrame:
     """source, rows, tokens; a null source is one of its own."""
-    return cut(docs.select(F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("n")).groupBy("source").agg(F.count("*").alias("rows"), F.sum("n").alias("tokens")), "mix-shares")
+    return _shares_of(docs.select(column(source).cast("string").alias("source"), word_count(column(text)).alias("tokens")))
+
+
+def _shares_of(rows: DataFrame) -> DataFrame:
+    return cut(rows.groupBy("source").agg(F.count("*").alias("rows"), F.sum("tokens").alias("tokens")), "mix-shares")
 
 
 def solve_exponent(table: DataFrame, params: MixingParams) -> float:
@@ -86,44 +100,51 @@ def epochs(table: DataFrame, exponent: float) -> DataFrame:
     return table.withColumn("epochs", F.coalesce(x / F.lit(least), F.lit(1.0)) if least else F.lit(1.0))
 
 
+def _placed(docs: DataFrame, params: MixingParams, doc_id: str, source: str, text: str) -> DataFrame:
+    """row (all columns of a row of ``docs`` as one, so that no name of theirs can meet one of the plan's), tokens, block, copies."""
+    rows = counted(docs, params, doc_id, source, text)
+    table = _shares_of(rows)
+    plan = cut(epochs(table, solve_exponent(table, params)), "mix-epochs")
+    few = plan.limit(100_001).count() <= 100_000
+    by_source = plan.select(F.col("source").alias("of"), "rows", "epochs")
+    by_source = F.broadcast(by_source) if few else by_source
+    block = F.pmod(F.conv(F.substring("key", 25, 8), 16, 10).cast("long"), F.ceil(F.col("rows") / params.block_rows)).cast("long")
+    dealt = rows.join(by_source, F.col("source").eqNullSafe(F.col("of"))).withColumns({"block": block, "rest": F.col("epochs") - F.floor("epochs")}).where("rest > 0")
+    inside = Window.partitionBy("source", "block")
+    run = F.sum("tokens").over(inside.orderBy("key", "tokens").rowsBetween(Window.unboundedPreceding, 0))
+    heads = dealt.select("source", "block", "key", (run - F.col("tokens") / 2 <= F.col("rest") * F.sum("tokens").over(inside)).alias("more")).where("more")
+    cuts = cut(heads.groupBy(F.col("source").alias("at"), F.col("block").alias("nr")).agg(F.max("key").alias("last")), "mix-cuts")
+    packed = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("row"), column(source).cast("string").alias("source"), _key(params, source, doc_id).alias("key"), word_count(column(text)).alias("tokens"))
+    keyed = packed.join(by_source, F.col("source").eqNullSafe(F.col("of"))).withColumn("block", block)
+    placed = keyed.join(cuts, F.col("source").eqNullSafe(F.col("at")) & (F.col("block") == F.col("nr")), "left")
+    copies = (F.floor("epochs") + F.coalesce((F.col("key") <= F.col("last")).cast("long"), F.lit(0))).cast("int")
+    return placed.select("row", "tokens", "block", copies.alias("copies"))
+
+
 def with_copies(docs: DataFrame, params: MixingParams | None = None, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """Every row of ``docs``, all columns, with ``__tokens``, ``__block`` and ``__copies`` (at least 1).
+    """Every row of ``docs``, all columns, with ``__tokens``, ``__block`` and ``__copies`` (at least 1); columns of ``docs`` with those names are replaced.
 
     A null source is one of its own; a null or blank text counts no tokens and a null id is as an id of its own.
-    Rows of one source that share an id are permuted together, so they get the same copies. An empty table gives
-    an empty result.
+    Rows of one source that share an id are permuted together, so they get the same copies. Texts of any length are
+    counted whole. Other columns may have any names. An empty table gives an empty result.
     """
-    params = params or MixingParams()
-    table = shares(docs, source, text)
-    plan = cut(epochs(table, solve_exponent(table, params)), "mix-epochs")
-    few = plan.limit(100_001).count() <= 100_000
-    key = F.md5(F.concat_ws("/", F.lit(params.seed), F.coalesce(F.col(source).cast("string"), F.lit("")), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
-    keyed = docs.withColumns({"__source": F.col(source).cast("string"), "__key": key, "__tokens": word_count(F.col(text))})
-    by_source = plan.select(F.col("source").alias("__of"), F.col("rows").alias("__rows"), F.col("epochs").alias("__epochs"))
-    keyed = keyed.join(F.broadcast(by_source) if few else by_source, F.col("__source").eqNullSafe(F.col("__of")))
-    block = F.pmod(F.conv(F.substring("__key", 25, 8), 16, 10).cast("long"), F.ceil(F.col("__rows") / params.block_rows)).cast("long")
-    keyed = keyed.withColumn("__block", block)
-    rest = F.col("__epochs") - F.floor("__epochs")
-    inside = Window.partitionBy("__source", "__block")
-    run = F.sum("__tokens").over(inside.orderBy("__key", "__tokens").rowsBetween(Window.unboundedPreceding, 0))
-    skinny = keyed.where(rest > 0).select("__source", "__block", "__key", "__tokens", rest.alias("rest"))
-    heads = skinny.select("__source", "__block", "__key", (run - F.col("__tokens") / 2 <= F.col("rest") * F.sum("__tokens").over(inside)).alias("more")).where("more")
-    cuts = cut(heads.groupBy(F.col("__source").alias("s"), F.col("__block").alias("k")).agg(F.max("__key").alias("last")), "mix-cuts")
-    placed = keyed.join(cuts, F.col("__source").eqNullSafe(F.col("s")) & (F.col("__block") == F.col("k")), "left")
-    copies = (F.floor("__epochs") + F.coalesce((F.col("__key") <= F.col("last")).cast("long"), F.lit(0))).cast("int")
-    return placed.withColumn("__copies", copies).select(*docs.columns, "__tokens", "__block", "__copies")
+    out = _placed(docs, params or MixingParams(), doc_id, source, text)
+    others = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in ("__tokens", "__block", "__copies")]
+    return out.select(*others, F.col("tokens").alias("__tokens"), F.col("block").alias("__block"), F.col("copies").alias("__copies"))
 
 
 def mix(docs: DataFrame, params: MixingParams | None = None, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """The mixed corpus: each row of ``docs`` as often as its source's weight asks for, columns unchanged."""
-    return with_copies(docs, params, doc_id, source, text).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)
+    """The mixed corpus: each row of ``docs`` as often as its source's weight asks for, columns unchanged, whatever their names. Nulls and repeated rows are as in ``with_copies``; an empty table stays empty."""
+    out = _placed(docs, params or MixingParams(), doc_id, source, text)
+    return out.select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select("row.*")
 
 
 # The same plan for the default parameters in SQL: with a repetition limit the exponent has a closed form.
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	
-]+'), lambda w: w <> ''))::BIGINT AS n_tokens,
+
+]+'), lambda w: w <> ''))::BIGINT AS n_tokens,
          md5('mix/' || coalesce(source, '') || '/' || coalesce(doc_id::VARCHAR, '')) AS key
   FROM documents),
 t AS (SELECT source, count(*) AS n_rows, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY source),

@@ -9,23 +9,40 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import shared_base
 
 #: Rows of an Arrow batch in a cut.
 BATCH_ROWS = 1000
 
-_own_dir: dict[str, str] = {}
 _swept: set[str] = set()
 
 
 _held: dict[Any, Any] = {}
 
 
+def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted column names, each lengthened until no taken one is like it, case aside."""
+    used, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def column(name: str) -> Column:
+    """A frame's column by its plain name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def held(key: Any, make: Callable[[], Any]) -> Any:
     """What a Python worker keeps from task to task under ``key``. It keeps one thing at a time, as workers outlive stages and share an executor's memory."""
     if key not in _held:
@@ -40,11 +57,8 @@ def let_go() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for this application's cuts, below ``spark.checkpoint.dir``; a local temporary one only where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    app = spark.sparkContext.applicationId
-    if not base:
-        base = _own_dir.setdefault(app, tempfile.mkdtemp(prefix="notelake-"))
+    """The folder for this application's cuts, below ``spark.checkpoint.dir``; where that is unset, a local session takes a temporary one and a cluster's raises."""
+    base, app = shared_base(spark), spark.sparkContext.applicationId
     path = f"{base.rstrip('/')}/notelake-{app}"
     if path not in _swept:
         _swept.add(path)
