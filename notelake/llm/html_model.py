@@ -3,39 +3,62 @@
 from __future__ import annotations
 
 import math
+import zlib
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 
-from .html_blocks import Block
+from .html_blocks import Block, Element
 
 PATH_DIM, WORD_DIM, EXTRA_DIM, HIDDEN = 256, 64, 10, 24
+#: Words from which on a longer block's word counts grow no more; all of its words are counted.
+SCALE_WORDS = 32
 INPUT_DIM = PATH_DIM + WORD_DIM + EXTRA_DIM
 WEIGHTS = Path(__file__).with_name("html_weights.npz")
 
 
 def _bucket(text: str, size: int) -> int:
-    h = 2166136261
-    for b in text.encode("utf-8", "surrogatepass"):
-        h = (h ^ b) * 16777619 & 0xFFFFFFFF
-    h ^= h >> 15
-    return h * 2654435769 % (1 << 32) * size >> 32
+    return zlib.crc32(text.encode("utf-8", "surrogatepass")) * size >> 32
 
 
 @lru_cache(50_000)
-def path_buckets(path: tuple[tuple[str, ...], ...]) -> tuple[int, ...]:
-    """Buckets of a tag path: each element's tag and names, and the innermost element by itself."""
-    found = {_bucket(f"{'' if k else ' '}{w}", PATH_DIM) for element in path[-12:] for k, w in enumerate(element)}
-    if path:
-        found |= {_bucket(f"leaf {w}", PATH_DIM) for w in path[-1]}
-    return tuple(sorted(found))
+def _element_marks(names: tuple[str, ...]) -> int:
+    """Buckets of an element's tag and names as the bits of a number."""
+    out = 0
+    for k, w in enumerate(names):
+        out |= 1 << _bucket(f"{'' if k else ' '}{w}", PATH_DIM)
+    return out
 
 
-@lru_cache(100_000)
-def word_bucket(word: str) -> int:
-    return _bucket(word, WORD_DIM)
+@lru_cache(50_000)
+def _leaf_marks(names: tuple[str, ...]) -> int:
+    out = 0
+    for w in names:
+        out |= 1 << _bucket(f"leaf {w}", PATH_DIM)
+    return out
+
+
+@lru_cache(50_000)
+def _set_bits(marks: int) -> tuple[int, ...]:
+    return tuple(k for k in range(PATH_DIM) if marks >> k & 1)
+
+
+def path_buckets(path: Element | None) -> tuple[int, ...]:
+    """Buckets of a tag path: every element's tag and names, and the innermost element by itself."""
+    if path is None:
+        return ()
+    todo, e = [], path
+    while e is not None and e.marks is None:
+        todo.append(e)
+        e = e.above
+    marks = e.marks if e is not None else 0
+    for e in reversed(todo):
+        marks |= _element_marks(e.names)
+        e.marks = marks
+    return _set_bits(marks | _leaf_marks(path.names))
 
 
 def features(page: list[Block]) -> tuple[np.ndarray, list[tuple[int, ...]]]:
@@ -45,15 +68,16 @@ def features(page: list[Block]) -> tuple[np.ndarray, list[tuple[int, ...]]]:
     paths = []
     for k, b in enumerate(page):
         words = b.text.split(" ")
-        head = words if len(words) <= 32 else words[:24] + words[-8:]
-        for w in head:
-            dense[k, word_bucket(w.lower())] += 1.0
-        dense[k, :WORD_DIM] /= math.sqrt(len(head))
+        counted = Counter(b.text.lower().split(" "))
+        for w, times in counted.items():
+            dense[k, _bucket(w, WORD_DIM)] += times
+        # Shares of the words, on the scale of short blocks' counts.
+        dense[k, :WORD_DIM] *= math.sqrt(min(len(words), SCALE_WORDS)) / len(words)
         size = len(b.text)
         stops = sum(map(b.text.count, ".,;?!"))
         dense[k, WORD_DIM:] = (
             math.log1p(size) / 5, math.log1p(len(words)) / 4, b.linked / max(1, size), min(1.0, 10 * stops / max(1, size)), float(b.text[-1] in ".?!:;\"”"),
-            k / n, 1.0 / (1 + k), 1.0 / (n - k), min(1.0, len(b.path) / 12), float("©" in b.text or "@" in b.text),
+            k / n, 1.0 / (1 + k), 1.0 / (n - k), min(1.0, (b.path.depth if b.path else 0) / 12), float("©" in b.text or "@" in b.text),
         )
         paths.append(path_buckets(b.path))
     return dense, paths

@@ -134,8 +134,8 @@ class _Writer:
         if self.r.random() < 0.3:
             self.r.shuffle(before)
         parts = [f() for f in before] + ([self.article()] if self.r.random() < 0.97 else []) + [f() for f in after]
-        if self.r.random() < 0.2:
-            parts = [f"<div{self.name('wrapper', 'container', 'page', 'layout')}>", *parts, "</div>"]
+        for _ in range(self.r.choice([0, 0, 0, 0, 0, 1, 1, 2, 4, self.r.randint(5, 30)])):
+            parts = [f"<div{self.name('wrapper', 'container', 'page', 'layout', 'row', 'inner')}>", *parts, "</div>"]
         head = f"<head><meta charset='utf-8'><title>{self.few(2, 9)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head>"
         return f"<!DOCTYPE html><html lang='en'>{head}<body>{'<!-- ad -->'.join(parts)}</body></html>"
 
@@ -155,7 +155,7 @@ def examples(count: int, seed: int = 1) -> list[tuple[list[Block], list[int]]]:
     return out
 
 
-def fit(pages: int = 2400, epochs: int = 10) -> BiLstm:
+def fit(pages: int = 4800, epochs: int = 12) -> BiLstm:
     return train(examples(pages), epochs)
 
 
