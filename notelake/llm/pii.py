@@ -13,12 +13,13 @@ import hashlib
 import hmac
 import math
 import re
+import secrets
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import date, timedelta
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -225,6 +226,15 @@ def _date_of(kind: str, text: str) -> date | None:
         return None
 
 
+# International calling codes of one and of two digits; all others have three.
+_ONE_DIGIT = frozenset("17")
+_TWO_DIGITS = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
+def _country_digits(digits: str) -> int:
+    return 1 if digits[0] in _ONE_DIGIT else 2 if digits[:2] in _TWO_DIGITS else 3
+
+
 def pseudonym(p: Pseudonymizer, kind: str, value: str, undo: bool = False) -> str:
     digits = "".join(_NUMBER_SHAPE.findall(value))
     if kind == "card":
@@ -242,9 +252,8 @@ def pseudonym(p: Pseudonymizer, kind: str, value: str, undo: bool = False) -> st
         area, group = divmod(x, 99)
         return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
     if kind in ("phone", "intl"):
-        # The country's digits stay, so the number keeps its form.
-        head = re.match(r"\+\d{1,3}(?=[ .\-(])", value)
-        n = len(_NUMBER_SHAPE.findall(head[0])) if head else 0
+        # The country's digits stay, and the rest is permuted by itself, so a number stays linked however it is written.
+        n = _country_digits(digits) if value.startswith("+") else 0
         return _refill(value, digits[:n] + p.digits("phone", digits[n:], undo))
     if kind == "email":
         name, _, host = value.partition("@")
@@ -267,7 +276,22 @@ def redact(text: str, p: Pseudonymizer) -> tuple[str, list[tuple[str, int, int]]
 
 @dataclass(frozen=True)
 class PiiParams:
-    key: bytes = b"notelake pseudonyms"
+    #: The key of all permutations; whoever has it can undo the pseudonyms.
+    key: bytes
+
+
+#: The setting that names the key, in hexadecimal digits.
+KEY_SETTING = "spark.notelake.pii.key"
+_own_keys: dict[str, bytes] = {}
+
+
+def configured_key(spark: SparkSession) -> bytes:
+    """The key that the session's settings hold. Without one, a random key that ends with the application: its pseudonyms stay linked within it and can't be undone later."""
+    text = spark.conf.get(KEY_SETTING, None)
+    if text:
+        return bytes.fromhex(text)
+    app = spark.sparkContext.applicationId
+    return _own_keys.get(app) or _own_keys.setdefault(app, secrets.token_bytes(32))
 
 
 SCHEMA = "text string, n_values int, kinds array<string>, starts array<int>, ends array<int>"
@@ -277,10 +301,11 @@ def pseudonymize(docs: DataFrame, params: PiiParams | None = None, doc_id: str =
     """One row per row of ``docs``: doc_id, text with pseudonyms, n_values, and kinds, starts and ends of the values in it (code points).
 
     A null text gives a null text and no values; an empty one stays empty; a null id is returned as null; repeated
-    rows give equal rows. Numbers that fail their test (Luhn, calendar, ranges) stay as they are. Other columns are
-    ignored. A pseudonym may in rare cases (one in the size of its format) equal its value.
+    rows give equal rows; texts of any length are read whole; an empty table gives an empty result. Numbers that fail their test (Luhn, calendar, ranges) stay as they are. Other columns are
+    ignored. A pseudonym may in rare cases (one in the size of its format) equal its value. The key is that of
+    ``params``, else the session's (``KEY_SETTING``).
     """
-    key = (params or PiiParams()).key
+    key = params.key if params else configured_key(docs.sparkSession)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
