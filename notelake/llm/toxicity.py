@@ -21,9 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .lexicon import Entry, LexiconAutomaton, allowed_edits
-from .workspace import cut, held
+from .workspace import column, cut, free_names, held
 
 # General insults that need no labelled text to be known.
 SEED_TERMS = (
@@ -231,7 +232,11 @@ def _set_key(words: set[str]) -> bytes:
 
 
 def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = None, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", label_id: str = "doc_id") -> ToxicityModel:
-    """Learns terms and weights from at most ``most_labelled`` labelled rows. Without any, the seed terms and the prior stand."""
+    """Learns terms and weights from at most ``most_labelled`` labelled rows. Without any, the seed terms and the prior stand.
+
+    Rows whose id, label or text is null teach nothing; texts of the same words and label count once for terms, each
+    row once for weights; texts of any length are read whole; other columns are ignored.
+    """
     params = params or ToxicityParams()
     sample = _sample(docs, labels, params, doc_id, text, label, label_id)
     entries = _terms(sample, params)
@@ -263,18 +268,24 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = None
     return ToxicityModel(tuple(entries), tuple(w.tolist()), params.window)
 
 
-def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of each row and ``__score``, the probability that its whole text is toxic. A null text scores as an empty one."""
+def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "__score") -> DataFrame:
+    """The columns ``keep`` of each row, whatever their names, and ``out``, the probability that its whole text is toxic.
+
+    A null text scores as an empty one, and every empty text alike; null ids are returned as null; repeated rows score
+    alike; texts of any length are read whole; an empty table gives an empty result. ``out`` must be none of ``keep``.
+    """
+    if out.lower() in {c.lower() for c in keep}:
+        raise ValueError(f"{out} is also a column to keep")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(F.col(text).cast("string").alias("__text"), *keep)
-    schema = source.withColumn("__score", F.lit(0.0)).drop("__text").schema
+    source = docs.select(column(text).cast("string").alias(free_names(keep, "text")[0]), *[column(c) for c in keep])
+    schema = StructType([*source.schema.fields[1:], StructField(out, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         scanner = held(model, model.scanner)
         for batch in batches:
             scores = [model.score(scanner.features(t or "")) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())], names=[*keep, "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())], names=[*keep, out])
 
     return source.mapInArrow(run, schema)
 
@@ -285,6 +296,11 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = None, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that score under 0.5; learned from labels that are not held out."""
+    """The rows of ``docs``, all columns whatever their names, that score under 0.5; learned from labels that are not held out.
+
+    Rows without text or id stay, repeated rows stay or go together, an empty table stays empty; labels that are null,
+    or of ids that ``docs`` lacks, teach nothing.
+    """
     model = fit(docs, labels.where(~held_out()), params)
-    return score(docs, model, text, tuple(docs.columns)).where("__score < 0.5").drop("__score")
+    out = free_names(docs.columns, "__score")[0]
+    return score(docs, model, text, tuple(docs.columns), out).where(F.col(out) < 0.5).drop(out)
