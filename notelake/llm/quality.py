@@ -78,15 +78,16 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, params: QualityParams, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> np.ndarray:
-    """Weights of the text model. Without labelled texts all are 0, so every text's evidence is one half."""
+    """Weights of the text model, from at most ``most_labelled`` labelled ids. Without labelled texts all are 0, so every text's evidence is one half."""
     own = labels.select(F.col(doc_id).cast("long").alias("i"), F.col(label).cast("int").alias("y")).where("i IS NOT NULL AND y IS NOT NULL").orderBy(F.xxhash64("i"), "i", "y").limit(params.most_labelled)
-    sample = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).cast("string").alias("text")).join(F.broadcast(own), "i").select("text", "y")
+    sample = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).cast("string").alias("text")).join(F.broadcast(own), "i").select("i", "text", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([features(t or "") for t in batch.column(0).to_pylist()], pa.list_(pa.float64())), batch.column(1)], names=["f", "y"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(t or "") for t in batch.column(1).to_pylist()], pa.list_(pa.float64())), batch.column(2)], names=["i", "f", "y"])
 
-    rows = sample.mapInArrow(run, "f array<double>, y int").limit(4 * params.most_labelled).collect()
+    # A labelled id counts once, whatever the rows that share it: by the least of their features.
+    rows = sample.mapInArrow(run, "i long, f array<double>, y int").groupBy("i", "y").agg(F.min("f").alias("f")).orderBy("i", "y").collect()
     if not rows:
         return np.zeros(len(FEATURES))
     return _fit(np.array([r["f"] for r in rows]), np.array([r["y"] for r in rows], float), params.ridge)
