@@ -117,6 +117,8 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, par
     # Equal urls are scored once.
     fold = F.pmod(F.conv(F.substring(F.md5(F.coalesce("url", F.lit(""))), 1, 8), 16, 10).cast("long"), F.lit(params.folds))
     distinct = cut(urls.groupBy("url").agg(F.count("*").alias("times"), F.first("said").alias("said")).withColumns({"fold": fold, "uid": F.md5(F.coalesce("url", F.lit("")))}), "urls")
+    # A url grows into a row per character; a fixed number of partitions keeps small tables from growing in one task.
+    distinct = distinct.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "uid")
     trains = F.col("fold") > 0
     good = F.when(trains & (F.col("said") == "allow"), F.col("times")).otherwise(0)
     bad = F.when(trains & (F.col("said") == "block"), F.col("times")).otherwise(0)
