@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import mix
+from .workspace import column, free_names
 
 # The seed masks.
 MASKS = ("1010101011", "10110001011", "11101101", "11000100111")
@@ -236,6 +237,7 @@ def _finder(spark, block: list[tuple[int, np.ndarray]], params: DecontaminationP
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that overlap no benchmark item. A row whose id is null is kept."""
-    gone = contaminated(docs, benchmark, params, doc_id, text).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[doc_id].cast("long") == gone["__gone"], "left_anti")
+    """The rows of ``docs``, all columns whatever their names, that overlap no benchmark item. Rows without an id or text are kept; rows that share an id go together; an empty table stays empty."""
+    name = free_names(docs.columns, "gone")[0]
+    gone = contaminated(docs, benchmark, params, doc_id, text).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, column(doc_id).cast("long") == gone[name], "left_anti")

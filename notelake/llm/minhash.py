@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .bytesets import mix, shingle_hashes, texts_of, words_by_text
 from .components import connected_components
-from .workspace import cut, let_go
+from .workspace import column, cut, free_names, let_go
 
 
 @dataclass(frozen=True)
@@ -312,7 +312,17 @@ def near_duplicates(docs: DataFrame, params: MinHashParams | None = None, doc_id
 
 
 def keep_one(docs: DataFrame, params: MinHashParams | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that stay when each group of near-duplicates leaves the document of its smallest id."""
-    verdicts = near_duplicates(docs, params, doc_id, text)
-    gone = verdicts.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[doc_id].cast("long") == gone["__gone"], "left_anti")
+    """The rows of ``docs``, all columns whatever their names, that stay when each group of near-duplicates leaves the document of its smallest id.
+
+    Rows without an id or without words stay. Rows that share an id are one document, of which each text stays once;
+    a row without an id is a document of its own. An empty table stays empty.
+    """
+    own, named = column(doc_id).cast("long"), free_names(docs.columns, "gone", "repeated")
+    verdicts = cut(near_duplicates(docs, params, doc_id, text).select("doc_id", "kept"), "mh-verdicts")
+    gone = verdicts.where("NOT kept").select(F.col("doc_id").alias(named[0])).distinct()
+    kept = docs.join(gone, own == gone[named[0]], "left_anti")
+    repeated = cut(verdicts.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(named[1])), "mh-repeated")
+    if repeated.isEmpty():
+        return kept
+    match = own == repeated[named[1]]
+    return kept.join(repeated, match, "left_anti").union(kept.join(repeated, match, "left_semi").dropDuplicates([doc_id, text]))
