@@ -54,32 +54,32 @@ def weeks_back(d: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: plan_label(F.date_sub(week_start(d), k * 7)))
 
 
-def cron_of(c: Column, strict_reference: bool = False) -> Column:
-    """Five cron fields of an English frequency; 06:00 unless a time is named. ``strict_reference`` reads Tuesday to Thursday as daily."""
-    text = F.lower(trim_ws(c))
+def cron_of(c: Column, named_days: bool = False) -> Column:
+    """Five cron fields of an English frequency; 06:00 unless a time with am or pm is named. Five fields stand as they are.
+
+    Tuesday to Thursday count as daily, as they do where this form comes from; ``named_days`` tells them apart.
+    """
+    text = F.lower(c)
+    fields = r"^[-0-9*/,]+( [-0-9*/,]+){4}$"
     clock = r"(\d{1,2})(?::(\d{2}))?\s*(am|pm)"
     hour, minute, half = F.regexp_extract(text, clock, 1), F.regexp_extract(text, clock, 2), F.regexp_extract(text, clock, 3)
-    military = r"(?:^|\s)(\d{1,2}):(\d{2})(?!\s*[ap]m)"
-    h = (
-        F.when(half != "", F.try_to_number(hour, F.lit("99")).cast("int") % 12 + F.when(half == "pm", 12).otherwise(0))
-        .when(text.rlike(military), F.try_to_number(F.regexp_extract(text, military, 1), F.lit("99")).cast("int"))
-        .otherwise(6)
-    )
-    m = F.when((half != "") & (minute != ""), F.try_to_number(minute, F.lit("99")).cast("int")).when((half == "") & text.rlike(military), F.try_to_number(F.regexp_extract(text, military, 2), F.lit("99")).cast("int")).otherwise(0)
-    day = F.when(text.contains("weekday"), "1-5").when(text.contains("sun"), "0").when(text.contains("mon"), "1")
-    if not strict_reference:
-        day = day.when(text.contains("tue"), "2").when(text.contains("wed"), "3").when(text.contains("thu"), "4")
-    day = day.when(text.contains("fri"), "5").when(text.contains("sat"), "6").when(text.contains("week") & ~text.contains("day"), "0").otherwise("*")
-    return F.concat_ws(" ", m.cast("string"), h.cast("string"), F.lit("*"), F.lit("*"), day)
+    n = hour.try_cast("int")
+    h = F.when(half == "", "6").when((half == "pm") & (n < 12), (n + 12).cast("string")).when((half == "am") & (n == 12), "0").otherwise(hour)
+    m = F.when(minute == "", "0").otherwise(F.coalesce(minute.try_cast("int").cast("string"), F.lit("0")))
+    day = F.when(text.contains("weekday") | text.contains("mon-fri"), "1-5").when(text.contains("sun"), "0").when(text.contains("monday"), "1")
+    if named_days:
+        day = day.when(text.contains("tuesday"), "2").when(text.contains("wednesday"), "3").when(text.contains("thursday"), "4")
+    day = day.when(text.contains("fri"), "5").when(text.contains("saturday"), "6").when(text.contains("day") | text.contains("daily"), "*").when(text.contains("weekly"), "0").otherwise("*")
+    return F.when(text.rlike(fields), text).otherwise(F.concat_ws(" ", m, h, F.lit("*"), F.lit("*"), day))
 
 
 def cron_human(c: Column) -> Column:
-    """A cron line of the kind above in words; other lines as they are."""
+    """Five cron fields in words, as ``Sundays at 5:00 PM``; days other than those told apart are ``daily``."""
     p = F.split(trim_ws(c), r"\s+")
-    minute, hour, day = F.get(p, F.lit(0)), F.get(p, F.lit(1)), F.get(p, F.lit(4))
-    named = F.create_map(*[F.lit(x) for k, n in enumerate(("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday")) for x in (str(k), n + "s")], F.lit("*"), F.lit("daily"), F.lit("1-5"), F.lit("weekdays"))
-    simple = (F.size(p) == 5) & minute.rlike(r"^\d+$") & hour.rlike(r"^\d+$")
-    return F.when(simple, F.concat(F.coalesce(F.try_element_at(named, day), day), F.lit(" at "), F.lpad(hour, 2, "0"), F.lit(":"), F.lpad(minute, 2, "0"))).otherwise(c)
+    lead = lambda k: F.coalesce(F.regexp_extract(F.get(p, F.lit(k)), r"^(\d+)", 1).try_cast("int"), F.lit(0))
+    minute, hour, day = lead(0), lead(1), F.get(p, F.lit(4))
+    named = F.when(day == "1-5", "weekdays").when(day == "0", "Sundays").when(day == "1", "Mondays").when(day == "5", "Fridays").when(day == "6", "Saturdays").otherwise("daily")
+    return F.concat(named, F.lit(" at "), F.when(hour % 12 == 0, 12).otherwise(hour % 12).cast("string"), F.lit(":"), F.lpad(minute.cast("string"), 2, "0"), F.when(hour < 12, " AM").otherwise(" PM"))
 
 
 def due_day(text: Column, today: Column) -> Column:
@@ -107,3 +107,24 @@ def memory_floor(updated: Column, today: Column, most_days: int = 30) -> Column:
 def lookback_floor(today: Column, days: int = 2) -> Column:
     """The catch-up window's first day: some days back, but not before the week began."""
     return F.greatest(F.date_sub(today, days), week_start(today))
+
+
+def in_prior_week(d: Column, today: Column) -> Column:
+    """Whether a day lies in the Sunday-to-Saturday week before today's."""
+    start = week_start(today)
+    return (d >= F.date_sub(start, 7)) & (d < start)
+
+
+def in_past_two_days(d: Column, today: Column) -> Column:
+    """Yesterday or today."""
+    return d.between(F.date_sub(today, 1), today)
+
+
+def within(d: Column, lo: Column, hi: Column) -> Column:
+    """Inside a horizon, both ends included."""
+    return d.between(lo, hi)
+
+
+def time_slot(n: Column, slots: int = 7, first: int = 9) -> Column:
+    """The n-th of a day's half-hour slots in turn, as ``HH:mm``."""
+    return F.concat(F.lpad((n % slots + first).cast("string"), 2, "0"), F.when(n % 2 == 0, ":00").otherwise(":30"))

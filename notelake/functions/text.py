@@ -9,17 +9,20 @@ from pyspark.sql import functions as F
 
 # Other names of the ten connector roles, by canonical role.
 ROLE_ALIASES = {
-    "chat": ("chat", "messages", "messaging", "team chat"),
-    "email": ("email", "mail", "inbox"),
-    "issues": ("issues", "issue tracker", "tickets", "tracker"),
+    "email": ("email", "e-mail", "mail", "inbox"),
+    "chat": ("messaging", "chat", "slack", "teams", "telegram", "dm", "dms"),
+    "meetings": ("meetings", "meeting", "meeting notes", "transcripts"),
     "calendar": ("calendar", "cal", "schedule"),
-    "code": ("code", "repos", "repositories", "source control"),
-    "second-vault": ("second-vault", "second vault", "other vault"),
-    "meetings": ("meetings", "meeting notes", "transcripts"),
-    "web": ("web", "web search", "search"),
+    "issues": ("project management", "issues", "tickets", "pm", "issue tracker"),
+    "code": ("code", "repo", "repos", "git", "source control"),
+    "second-vault": ("second vault", "second-vault", "team vault", "second knowledge base"),
+    "vault": ("vault", "this vault", "filesystem", "local filesystem"),
     "memory": ("memory",),
-    "vault": ("vault", "notes"),
+    "web": ("web", "news", "web search"),
 }
+# Other names of bundled skills and routines.
+SKILL_ALIASES = {"weekly-plan": "weekly-planning", "daily-planning": "daily-plan", "meeting-preparation": "meeting-prep"}
+ROUTINE_ALIASES = {"weekly-plan-update": "weekly-plan-daily-update", "weekly-memory": "memory"}
 
 
 def trim_ws(c: Column) -> Column:
@@ -82,9 +85,15 @@ def strip_fence(c: Column) -> Column:
 
 
 def item_norm(c: Column) -> Column:
-    """The form in which checklist items are compared: no priority tag or due mark at the end, no stray marks, single spaces, lower case."""
-    bare = F.regexp_replace(F.regexp_replace(c, r"\s*`?\[P[123]\]`?\s*$", ""), r"(?i)\s*\(due today\)\s*$", "")
-    return F.lower(trim_ws(collapse_ws(F.regexp_replace(bare, r"[`*_.,;:!?]+", ""))))
+    """The form in which checklist items are compared: no priority tag or due mark at the end, no stray marks, single spaces, lower case.
+
+    The two marks are looked for at the end of the text only, so a long text is read by two regexes and no more.
+    """
+    space = F.lit(" \t\n\x0b\f\r")
+    bare = F.when(F.right(F.rtrim(c, space), F.lit(5)).rlike(r"\[P[123]\]`?$"), F.regexp_replace(c, r"\s*`?\[P[123]\]`?\s*$", "")).otherwise(c)
+    due = F.lower(F.right(F.rtrim(bare, space), F.lit(11))) == "(due today)"
+    bare = F.when(due, F.regexp_replace(bare, r"(?i)\s*\(due today\)\s*$", "")).otherwise(bare)
+    return F.lower(F.trim(collapse_ws(F.regexp_replace(bare, r"[`*_.,;:!?]+", ""))))
 
 
 def priority_of(c: Column) -> Column:
@@ -131,11 +140,59 @@ def shorthand(c: Column) -> tuple[Column, Column]:
     return halves(c, "=")
 
 
+def _renamed(name: Column, names: dict[str, str]) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), name), name)
+
+
 def role_alias(c: Column) -> Column:
     """The canonical role of any of its names, without what stands in parentheses; other names lower-cased."""
-    name = F.lower(trim_ws(F.regexp_replace(c, r"\s*\([^)]*\)", "")))
-    pairs = [F.lit(x) for role, names in ROLE_ALIASES.items() for n in names for x in (n, role)]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), name), name)
+    return _renamed(F.lower(trim_ws(F.regexp_replace(c, r"\(.*\)", ""))), {n: role for role, names in ROLE_ALIASES.items() for n in names})
+
+
+def skill_alias(c: Column) -> Column:
+    """The installed name of a skill that goes by another."""
+    return _renamed(c, SKILL_ALIASES)
+
+
+def routine_alias(c: Column) -> Column:
+    return _renamed(c, ROUTINE_ALIASES)
+
+
+def alias_variants(canonical: str) -> list[str]:
+    """All names under which a template may hold a skill's or routine's attributes, the canonical one first."""
+    return [canonical, *(n for names in (SKILL_ALIASES, ROUTINE_ALIASES) for n, c in names.items() if c == canonical)]
+
+
+def connected_list(sources: Column, wanted: Column) -> Column:
+    """Of (role, source) records in their order, the wanted roles whose source is neither empty nor ``none``, joined by commas."""
+    held = F.filter(sources, lambda s: (F.coalesce(s["source"], F.lit("")) != "") & (s["source"] != "none") & F.array_contains(wanted, s["role"]))
+    return F.array_join(F.transform(held, lambda s: s["role"]), ", ")
+
+
+def normalize_daily(c: Column) -> Column:
+    """The three sections of a daily note in order, headings with or without marks; what stands before the first is dropped, blank lines are single, one line end closes it."""
+    form = r"(?m)^#*[ \t]*{}[ \t]*:?[ \t]*$"
+    # Cut at headings: each piece after the first begins right after a heading line.
+    marked = c
+    for k, name in enumerate(("Admin", "Goals", "Notes")):
+        marked = F.regexp_replace(marked, form.format(name), f"\u0001{k}")
+    pieces = F.slice(F.split(marked, "\u0001"), 2, F.greatest(F.size(F.split(marked, "\u0001")), F.lit(1)))
+
+    def section(k: int) -> Column:
+        own = F.filter(pieces, lambda x: F.substring(x, 1, 1) == str(k))
+        lines = F.transform(own, lambda x: F.regexp_replace(x, r"\A.\n?", ""))
+        return F.array_join(F.transform(lines, lambda x: F.when(x.endswith("\n") | (x == ""), x).otherwise(F.concat(x, F.lit("\n")))), "")
+
+    whole = F.concat(F.lit("# Admin\n"), section(0), F.lit("\n# Goals\n"), section(1), F.lit("\n# Notes\n"), section(2))
+    return F.concat(F.regexp_replace(F.regexp_replace(whole, r"(\n[ \t]*)(?:\n[ \t]*)+(?=\n)", "$1"), r"\n+\z", ""), F.lit("\n"))
+
+
+def normalize_weekly(c: Column, required: tuple[str, ...] = ("Weekly Goals", "Admin", "Personal")) -> Column:
+    """A weekly plan with each required section it lacks appended, in order, and one line end at its end."""
+    out = c
+    for name in required:
+        out = F.when(c.rlike(rf"(?m)^#*[ \t]*{name}[ \t]*:?[ \t]*$"), out).otherwise(F.concat(out, F.lit(f"\n# {name}\n")))
+    return F.concat(F.regexp_replace(out, r"\n+\z", ""), F.lit("\n"))
 
 
 def fold_case(c: Column, values: dict[str, tuple[str, ...]]) -> Column:

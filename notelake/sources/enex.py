@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import html
+import mimetypes
 import re
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -17,17 +18,30 @@ from ..functions.text import enex_date, normalize_tag, sanitize_filename, trim_w
 _RESOURCE = T.StructType([T.StructField("data", T.StringType()), T.StructField("mime", T.StringType()), T.StructField("resource-attributes", T.StructType([T.StructField("file-name", T.StringType())]))])
 SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in ("title", "content", "created", "updated")] + [T.StructField("tag", T.ArrayType(T.StringType())), T.StructField("resource", T.ArrayType(_RESOURCE))])
 
-# File endings by media type.
-ENDINGS = {"image/png": ".png", "image/jpeg": ".jpg", "image/gif": ".gif", "image/webp": ".webp", "image/svg+xml": ".svg", "application/pdf": ".pdf", "text/plain": ".txt", "text/html": ".html", "application/zip": ".zip", "audio/mpeg": ".mp3", "audio/wav": ".wav", "video/mp4": ".mp4"}
+#: File endings by media type: the standard library's own table.
+_TYPES = mimetypes.MimeTypes(filenames=())
+ENDINGS = {kind: _TYPES.guess_extension(kind) for table in _TYPES.types_map_inv[::-1] for kind in table}
+
+
+def ending_of(mime: Column) -> Column:
+    """The file ending of a media type, empty for unknown ones."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in ENDINGS.items() for x in kv]), mime), F.lit(""))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """note_no, and the archive's fields as they stand; an empty selection is an error. ``note_no`` follows file name, then place."""
     raw = spark.read.format("xml").option("rowTag", "note").option("pathGlobFilter", "*.enex").schema(SCHEMA).load(path)
-    raw = raw.select("*", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("place"))
+    raw = raw.select("*", F.col("_metadata.file_name").alias("file"))
     if raw.isEmpty():
         raise FileNotFoundError(f"no notes in {path}")
-    return raw.withColumn("note_no", F.row_number().over(Window.orderBy("file", "place"))).drop("place")
+    # Notes are numbered by partition: only the counts of each meet in one place, never the notes.
+    part, place = F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")
+    raw = raw.select("*", part, place)
+    sizes = raw.groupBy("file", "part").agg(F.count("*").alias("n"), F.min("place").alias("lowest"))
+    before = F.sum("n").over(Window.orderBy("file", "lowest").rowsBetween(Window.unboundedPreceding, -1))
+    firsts = sizes.select("file", "part", "lowest", F.coalesce(before, F.lit(0)).alias("before"))
+    out = raw.join(F.broadcast(firsts), ["file", "part"])
+    return out.withColumn("note_no", (F.col("place") - F.col("lowest") + F.col("before") + 1).cast("int")).drop("part", "place", "lowest", "before")
 
 
 def named(notes: DataFrame, order: str = "note_no", title: str = "title") -> DataFrame:
@@ -49,9 +63,9 @@ def attachments(notes: DataFrame) -> DataFrame:
     data = F.try_to_binary(F.regexp_replace("r.data", r"\s+", ""), F.lit("base64"))
     r = r.select("note_no", "name", "idx", data.alias("data"), F.coalesce("r.mime", F.lit("application/octet-stream")).alias("mime"), F.col("r.resource-attributes.file-name").alias("given")).where("data IS NOT NULL")
     r = r.withColumn("md5", F.md5("data"))
-    ending = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in ENDINGS.items() for x in kv]), F.col("mime")), F.lit(""))
-    made = F.concat("name", F.lit("-attachment-"), (F.col("idx") + 1).cast("string"), ending)
-    r = r.withColumn("file", F.coalesce(sanitize_filename(F.nullif(F.col("given"), F.lit(""))), made))
+    ending = ending_of(F.col("mime"))
+    made = F.concat("name", F.lit("-attachment-"), F.col("idx").cast("string"), ending)
+    r = r.withColumn("file", F.when(F.coalesce("given", F.lit("")) != "", sanitize_filename(F.col("given"))).otherwise(made))
     again = F.row_number().over(Window.partitionBy("file").orderBy("note_no", "idx")) > 1
     unique = F.concat(F.regexp_replace("file", r"\.[^.]*$", ""), F.lit("-"), F.substring("md5", 1, 6), F.regexp_extract("file", r"(\.[^.]*)$", 1))
     return r.withColumn("file", F.when(again, unique).otherwise(F.col("file"))).select("note_no", "idx", "md5", "mime", "data", "file")
