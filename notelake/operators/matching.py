@@ -1,7 +1,8 @@
 """Item matching: equal after normalisation, or one a prefix of the other with the shorter at least 30 characters.
 
-Both cases share their first 30 characters, so every join here is an equi-join on that prefix with the exact test
-as a residual; equal lines are joined once, whatever their number.
+Nothing but hashes meets: a line offers the hash of itself and, for each length that a line of the other side has, the
+hash of its own beginning of that length. Both are 128 bits, so equal hashes are equal texts. The hashes a line offers
+are bounded by the distinct lengths of the shorter side, and lines that share an opening but do not match never meet.
 """
 
 from __future__ import annotations
@@ -12,21 +13,72 @@ from pyspark.sql import functions as F
 PREFIX = 30
 
 
-def prefix_key(norm: Column) -> Column:
-    return F.substring(norm, 1, PREFIX)
-
-
 def matches(a: Column, b: Column) -> Column:
+    """The rule itself, on two texts."""
     return (a == b) | ((F.least(F.length(a), F.length(b)) >= PREFIX) & (F.startswith(a, b) | F.startswith(b, a)))
 
 
+def digest(text: Column) -> Column:
+    """A line's hash."""
+    return F.struct(F.xxhash64(text).alias("x"), F.xxhash64(F.lit(1), text).alias("y"))
+
+
+def _lengths(df: DataFrame, norm: str) -> Column:
+    """The lengths, of PREFIX on, that lines of a side have, as a scalar subquery; as many as there are characters in its longest line at most."""
+    size = _once(F.length(norm))
+    return df.select(size.alias("n")).where(F.col("n") >= PREFIX).agg(F.sort_array(F.collect_set("n"))).scalar()
+
+
+def _once(c: Column) -> Column:
+    """The same value, computed once. The test always holds, but as the optimizer can't know, it does not copy what makes a line into every filter and lambda that reads it."""
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
+def keyed(df: DataFrame, other: DataFrame, norm: str = "norm", other_norm: str = "norm") -> DataFrame:
+    """``df`` without its lines, but with ``own`` (the line's hash) and ``heads`` (of its beginnings of the other side's lengths, those shorter than it). Rows with a null line are left out."""
+    rest = [c for c in df.columns if c != norm]
+    known = df.select(*rest, _once(F.col(norm)).alias("line__")).where("line__ IS NOT NULL")
+    known = known.select(*rest, "line__", _once(F.length("line__")).alias("size__"), _lengths(other, other_norm).alias("lengths__"))
+    shorter = F.filter("lengths__", lambda n: n < F.col("size__"))
+    return known.select(*rest, digest(F.col("line__")).alias("own"), F.transform(shorter, lambda n: digest(F.substring(F.col("line__"), F.lit(1), n))).alias("heads"))
+
+
+def _doors(side: DataFrame, left: bool) -> DataFrame:
+    """A row for each hash under which a line is met: ``door``, and whether its own hash stands there (``whole``).
+
+    On the left a line waits whole at door A and by its beginnings at B; on the right it waits whole at both and by
+    its beginnings at A. So two lines meet if they are equal or one begins the other, and never by a common beginning.
+    """
+    door = lambda key, name: F.struct(key.alias("key"), F.lit(name).alias("name"))
+    heads = F.transform("heads", lambda h: door(h, "B" if left else "A"))
+    whole = [door(F.col("own"), "A")] if left else [door(F.col("own"), "A"), door(F.col("own"), "B")]
+    rest = [c for c in side.columns if c != "heads"]
+    return side.select(*rest, F.explode(F.concat(F.array(*whole), heads)).alias("door"))
+
+
+def join_keyed(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The pairs of keyed lines that match, each once; columns of both sides but ``own`` and ``heads``. One join of hashes."""
+    l, r = _doors(left, True).drop("own"), _doors(right, False).drop("own")  # noqa: E741
+    return l.join(r, "door").drop("door")
+
+
+def matched(left: DataFrame, right: DataFrame) -> DataFrame:
+    """own: the hashes of the keyed left lines that match any right one, each once."""
+    return _doors(left.select("own", "heads"), True).join(_doors(right.select("own", "heads"), False).select("door").distinct(), "door", "left_semi").select("own").distinct()
+
+
 def match_items(left: DataFrame, right: DataFrame, how: str = "inner", left_norm: str = "norm", right_norm: str = "norm") -> DataFrame:
-    """Joins two frames on matching items. The right side's columns get the prefix ``r_``; semi and anti joins keep the left's only."""
-    r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
+    """Joins two frames on matching items. The right side's columns get the prefix ``r_``; semi and anti joins keep the left's only.
+
+    A null line matches nothing. Each pair comes once.
+    """
     if how in ("left_semi", "left_anti"):
-        r = r.select(f"r_{right_norm}").distinct()
-    ln, rn = left[left_norm], r[f"r_{right_norm}"]
-    return left.join(r, (prefix_key(ln) == prefix_key(rn)) & matches(ln, rn), how)
+        met = matched(keyed(left.select(left_norm), right, left_norm, right_norm), keyed(right.select(right_norm), left, right_norm, left_norm))
+        return left.join(met, digest(F.col(left_norm)) == F.col("own"), how)
+    lines = lambda df, norm, name: df.withColumn(name, F.col(norm))
+    l = keyed(lines(left, left_norm, "line_l__"), right, "line_l__", right_norm)  # noqa: E741
+    r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
+    return join_keyed(l, keyed(lines(r, f"r_{right_norm}", "line_r__"), left, "line_r__", left_norm))
 
 
 def carried_weeks(unchecked: DataFrame, key: str = "item", week: str = "week", weeks: int = 3) -> DataFrame:
@@ -37,3 +89,19 @@ def carried_weeks(unchecked: DataFrame, key: str = "item", week: str = "week", w
         before = seen.select("key", F.date_add("week", 7 * k).alias("week"))
         out = out.join(before, ["key", "week"], "left_semi")
     return out.select(F.col("key").alias(key), F.col("week").alias(week))
+
+
+def carried_run(unchecked: DataFrame, key: str = "item", week: str = "week") -> DataFrame:
+    """key, week, run: in how many weeks running, up to that one, an item has been open. A gap begins anew."""
+    from pyspark.sql.window import Window
+
+    seen = unchecked.select(key, week).distinct()
+    order = Window.partitionBy(key).orderBy(week)
+    island = F.date_sub(week, (7 * F.row_number().over(order)).cast("int"))
+    seen = seen.withColumn("island__", island)
+    return seen.withColumn("run", F.row_number().over(Window.partitionBy(key, "island__").orderBy(week)).cast("long")).drop("island__")
+
+
+def carry_forward(last: DataFrame, before: DataFrame, norm: str = "norm") -> tuple[DataFrame, DataFrame]:
+    """Last week's open items in two parts: those that go on, and those also open the week before, which are dropped and reported."""
+    return match_items(last, before.select(norm), "left_anti", norm, norm), match_items(last, before.select(norm), "left_semi", norm, norm)

@@ -5,23 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .matching import match_items
+from . import matching
 
 
 def flip_completed(planned: DataFrame, completed: DataFrame) -> DataFrame:
-    """``planned`` (norm, checked, ...) with matched items checked; never unchecked, nothing else changed, the same again when repeated."""
-    done = match_items(planned.select("norm").distinct(), completed, "left_semi").withColumn("hit", F.lit(True))
-    return planned.join(done, "norm", "left").withColumn("checked", F.col("checked") | F.coalesce("hit", F.lit(False))).drop("hit")
+    """``planned`` (norm, checked, ...) with matched items checked; never unchecked, nothing else changed, the same again when repeated. Only hashes of lines are dealt out."""
+    met = matching.matched(matching.keyed(planned.select("norm"), completed), matching.keyed(completed.select("norm"), planned)).withColumn("hit__", F.lit(True))
+    out = planned.join(met, matching.digest(F.col("norm")) == F.col("own"), "left")
+    return out.withColumn("checked", F.col("checked") | F.coalesce("hit__", F.lit(False))).drop("own", "hit__")
 
 
-def verbs(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
-    """key, verb: confirm, revise, add, or keep for what the new side is silent about (silence is no deletion)."""
+def verbs(old: DataFrame, new: DataFrame, key: str, value: str, ended: DataFrame | None = None) -> DataFrame:
+    """key, verb: confirm, revise, add, keep for what the new side is silent about (silence is no deletion), or retire for what is known to have ended."""
     o, n = old.select(F.col(key), F.col(value).alias("old")), new.select(F.col(key), F.col(value).alias("new"))
     both = o.withColumn("has_old", F.lit(True)).join(n.withColumn("has_new", F.lit(True)), key, "full_outer")
     verb = F.when(F.col("has_old").isNull(), "add").when(F.col("has_new").isNull(), "keep").when(F.col("old").eqNullSafe(F.col("new")), "confirm").otherwise("revise")
+    if ended is not None:
+        both = both.join(ended.select(key).distinct().withColumn("over", F.lit(True)), key, "left")
+        verb = F.when(F.col("over") & F.col("has_old"), "retire").otherwise(verb)
     return both.select(key, verb.alias("verb"))
 
 
+def verified(computed: DataFrame, on_disk: DataFrame, key: str) -> DataFrame:
+    """The computed rows with ``state``: verified where the store, read again after the commit, holds the same row, else ``not on disk``."""
+    held = on_disk.select(*computed.columns).distinct().withColumn("held__", F.lit(True))
+    state = F.when(F.col("held__").isNotNull(), "verified").otherwise("not on disk")
+    return computed.join(held, computed.columns, "left").withColumn("state", state).drop("held__")
+
+
 def settle(stated: Column, inferred: Column) -> Column:
     """A stated preference outranks an inferred one."""
     return F.coalesce(stated, inferred)
