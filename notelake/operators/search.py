@@ -163,6 +163,13 @@ def search(notes: DataFrame, query: str, fields: Fields | None = None, exclude:
     return out
 
 
+def excluded(notes: DataFrame, query: str, exclude: tuple[str, ...], fields: Fields | None = None) -> DataFrame:
+    """prefix, n_excluded: how many matching notes each excluded path prefix holds back, so that none is left out in silence."""
+    fields = fields or Fields()
+    prefix = F.coalesce(*[F.when(F.col(fields.path).startswith(p), p) for p in exclude])
+    return notes.where(compile_query(query, fields)).select(prefix.alias("prefix")).where("prefix IS NOT NULL").groupBy("prefix").agg(F.count("*").alias("n_excluded"))
+
+
 def context(notes: DataFrame, query: str, fields: Fields | None = None) -> DataFrame:
     """path, pos, line of the lines that match the query by themselves."""
     fields = fields or Fields()

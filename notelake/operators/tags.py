@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import replace_tag, segment_key
+from ..functions.text import fold_case
 
 
 def vocabulary(notes: DataFrame, tags: str = "tags") -> DataFrame:
@@ -92,3 +93,12 @@ def merge(notes: DataFrame, old: str, new: str, tags: str = "tags") -> DataFrame
 def log_lines(plan: DataFrame, mode: str) -> DataFrame:
     """One log row per merge, naming the mode."""
     return plan.select(F.lit("tag-merge").alias("action"), F.col("to_tag").alias("path"), F.concat(F.col("from_tag"), F.lit(" -> "), F.col("to_tag"), F.lit(f" ({mode})")).alias("summary"))
+
+
+# Spellings of the lint's modes.
+MODES = {"canon": ("canon", "canonical", "strict"), "frequency": ("frequency", "freq"), "auto": ("auto", "")}
+
+
+def mode_of(c: Column) -> Column:
+    """The lint's mode in any spelling; none given is ``auto``, an unknown one null."""
+    return fold_case(F.coalesce(c, F.lit("")), MODES)

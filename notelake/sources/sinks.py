@@ -6,14 +6,14 @@ the partitions that hold them, to a folder all executors share.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fnmatch import fnmatch
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from ..functions.text import log_sanitize, yaml_escape
+from ..functions.text import log_sanitize, required_flag, yaml_escape
 from .vault import registry_rows
 
 
@@ -32,10 +32,17 @@ def imported_text(title: Column, created: Column, updated: Column, tags: Column,
 
 
 def write_files(df: DataFrame, root: str, path: str = "path", content: str = "content", deny: tuple[str, ...] = (), backup: bool = True) -> None:
-    """One file per row below ``root``. A path that leaves the root or fits a denied pattern fails the job; what stood there is kept as ``.bak``."""
+    """One file per row below ``root``, a folder that all executors see as a local one. A path that leaves the root or fits a denied pattern fails the job; what stood there is kept as ``.bak``.
+
+    A root in a store that only Spark's file systems reach raises ValueError; such stores take tables, not files of one row.
+    """
+    scheme, _, rest = root.rpartition("://")
+    if scheme not in ("", "file"):
+        raise ValueError(f"{root} is no folder that executors see as a local one")
+    own = rest if scheme else root.removeprefix("file:")
 
     def put(rows: Iterator[Row]) -> None:
-        top = Path(root).resolve()
+        top = Path(own).resolve()
         for row in rows:
             target = (top / row[path]).resolve()
             if top not in target.parents or any(fnmatch(row[path], d) for d in deny):
@@ -96,3 +103,40 @@ def enumeration(parents: DataFrame, children: DataFrame) -> DataFrame:
 def manifest(df: DataFrame) -> DataFrame:
     """Each row as one JSON object, ``content``."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("content"))
+
+
+def bridge_table(needs: DataFrame, contributes: Callable[[Column, Column], Column]) -> DataFrame:
+    """One row, ``content``: which skill reads which role, as a markdown table. Every skill reads the vault first; ``needs``: skill, roles (in order, the vault among them or not)."""
+    others = F.filter(F.coalesce("roles", F.array().cast("array<string>")), lambda r: (r != "vault") & (r != ""))
+    rows = needs.select("skill", F.posexplode(F.concat(F.array(F.lit("vault")), others)).alias("pos", "role"))
+    line = F.concat(F.lit("| `"), "skill", F.lit("` | `"), "role", F.lit("` | "), contributes(F.col("skill"), F.col("role")), F.lit(" | "), required_flag(F.col("role")), F.lit(" |"))
+    all_ = rows.select(F.struct("skill", "pos", "role", line.alias("line")).alias("r")).agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    return all_.select(F.concat(F.lit("| skill | role | contributes | required |\n| --- | --- | --- | --- |\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), F.lit("\n")).alias("content"))
+
+
+def registry_document(registry: DataFrame, bridge: DataFrame, feeds: DataFrame) -> DataFrame:
+    """One row, ``content``: the whole sources document, put together from its two tables and the feeds (kind, target, pos)."""
+    listed = feeds.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat(F.lit("- "), "target").alias("line")))), lambda x: x["line"]), "\n").alias("feeds"))
+    both = registry.withColumnRenamed("content", "roles").join(bridge.withColumnRenamed("content", "bridge"), F.lit(True)).join(listed, F.lit(True))
+    return both.select(F.concat(F.lit("# Connected sources\n\n"), "roles", F.lit("\n## Who reads what\n\n"), "bridge", F.lit("\n# External Sources\n\n"), "feeds", F.lit("\n")).alias("content"))
+
+
+def seed_notes(projects: DataFrame, children: DataFrame, areas: DataFrame) -> DataFrame:
+    """path, content: a starting note for each project, subproject (``children``: parent, name, description) and area."""
+    said = lambda: F.when(F.coalesce("description", F.lit("")) != "", F.concat("description", F.lit("\n\n"))).otherwise("")
+    none = F.lit(None).cast("string")
+    stamped = lambda body, kind: note_text(body, F.array().cast("array<string>"), none, none, F.lit(kind))
+    name, parent = F.col("name"), F.col("parent")
+    project = F.concat(F.lit("# "), name, F.lit("\n\n"), said(), F.lit("## Scope\n\nWhat belongs here, and what does not.\n\n## Current state\n\nNothing yet.\n\n## Open questions\n\n- \n"))
+    child = F.concat(F.lit("# "), name, F.lit("\n\n"), said(), F.lit("Part of [["), parent, F.lit(" Overview]].\n\n## Current state\n\nNothing yet.\n"))
+    area = F.concat(F.lit("# "), name, F.lit("\n\n"), said(), F.lit("## Standard\n\nWhat being kept up means.\n\n## Cadence\n\n- \n"))
+    return (
+        projects.select(F.concat(F.lit("Projects/"), name, F.lit("/"), name, F.lit(" Overview.md")).alias("path"), stamped(project, "project").alias("content"))
+        .union(children.select(F.concat(F.lit("Projects/"), parent, F.lit("/"), name, F.lit("/"), name, F.lit(" Overview.md")), stamped(child, "project")))
+        .union(areas.select(F.concat(F.lit("Areas/"), name, F.lit("/"), name, F.lit(".md")), stamped(area, "area")))
+    )
+
+
+def attachment_files(files: DataFrame, folder: str = "attachments") -> DataFrame:
+    """path, content of attachments (file, data), to be written below a folder."""
+    return files.select(F.concat(F.lit(folder + "/"), "file").alias("path"), F.col("data").alias("content"))

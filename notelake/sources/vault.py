@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.arrays import as_list
+from ..functions.dates import daily_note_day
 from ..functions.text import body_hash, domain_of, escape_pipe, field, role_alias, strip_comments, trim_ws
 
 CONTENT_FOLDERS = ("Projects", "Areas", "Resources", "Archive", "Clippings")
@@ -185,3 +186,82 @@ def feeds(docs: DataFrame, key: str = "path", text: str = "body") -> DataFrame:
 
 def registry_rows(roles: DataFrame) -> Column:
     return F.concat(F.lit("| "), F.col("role"), F.lit(" | "), F.col("source"), F.lit(" | "), escape_pipe(F.col("notes")), F.lit(" |"))
+
+
+def rebuild_manifest(notes: DataFrame) -> DataFrame:
+    """path, body_hash, tagged_hash: what the notes themselves say, from which a manifest is built anew."""
+    return notes.select("path", "body_hash", "tagged_hash")
+
+
+def manifest_state(manifest: DataFrame, meta: DataFrame) -> DataFrame:
+    """n_notes, schema_version of a manifest and its key-value table."""
+    version = meta.where("key = 'schema_version'").agg(F.max("value").alias("schema_version"))
+    return manifest.agg(F.count("*").alias("n_notes")).join(F.broadcast(version), F.lit(True))
+
+
+def section_filled(sections_: DataFrame, wanted: DataFrame, key: str = "path") -> DataFrame:
+    """key, section, filled: whether each wanted H1 section is there and holds anything at all."""
+    held = sections_.groupBy(key, F.col("h1").alias("section")).agg(F.max(F.length(trim_ws(F.col("text"))) > 0).alias("filled"))
+    asked = sections_.select(key).distinct().join(F.broadcast(wanted), F.lit(True))
+    return asked.join(held, [key, "section"], "left").select(key, "section", F.coalesce("filled", F.lit(False)).alias("filled"))
+
+
+def project_paths(docs: DataFrame, key: str = "path", text: str = "body") -> DataFrame:
+    """key, project: each top-level record's name and each child's path below it."""
+    return records(docs, key, text).select(key, F.col("name").alias("project")).union(children(docs, key, text).select(key, F.concat("parent", F.lit("/"), "name")))
+
+
+def area_list(paths: DataFrame, root: str = "Areas", path: str = "path") -> DataFrame:
+    """area: the folders below ``Areas/``, in order of name."""
+    parts = F.split(path, "/")
+    return paths.where((F.get(parts, F.lit(0)) == root) & (F.size(parts) > 2)).select(F.get(parts, F.lit(1)).alias("area")).distinct().orderBy("area")
+
+
+def dated(notes: DataFrame, folder: str, lo: Column, hi: Column, path: str = "path", name: str = "name") -> DataFrame:
+    """Notes of a folder with ``day``, the date their file name begins with, from ``lo`` to ``hi``; others are left out."""
+    return notes.where(F.col(path).startswith(folder + "/")).withColumn("day", daily_note_day(F.col(name))).where(F.col("day").between(lo, hi))
+
+
+def titles(notes: DataFrame, folder: str, path: str = "path", name: str = "name") -> DataFrame:
+    """title of a folder's notes, in order."""
+    return notes.where(F.col(path).startswith(folder + "/")).select(F.regexp_replace(name, r"\.md$", "").alias("title")).orderBy("title")
+
+
+#: Fields that a persona must have.
+PERSONA_FIELDS = ("id", "name", "email", "vault", "seed")
+
+
+def persona_records(entries: DataFrame) -> DataFrame:
+    """kind, pos, first, second, third: the bar-separated records of a persona's lists (``entries``: kind, pos, record), trimmed."""
+    return entries.select("kind", "pos", *[field(F.col("record"), k).alias(n) for k, n in enumerate(("first", "second", "third"), 1)])
+
+
+def persona_missing(scalars: DataFrame, records_: DataFrame) -> DataFrame:
+    """missing: the required fields that are absent or empty, and ``projects`` where there is none."""
+    spark = scalars.sparkSession
+    need = spark.createDataFrame([(f,) for f in PERSONA_FIELDS], "missing string")
+    have = scalars.where("trim(coalesce(value, '')) <> ''").select(F.col("key").alias("missing"))
+    out = need.join(have, "missing", "left_anti")
+    none = records_.where("kind = 'projects'").agg(F.count("*").alias("n")).where("n = 0").select(F.lit("projects").alias("missing"))
+    return out.union(none)
+
+
+def _read_small(spark: SparkSession, path: str) -> str:
+    """A small file's text, read on the driver by Spark's file systems."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).open(target)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def scan_sandbox_manifests(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """vault, name, mode, created_at, anchor_date of sandbox manifests, one small JSON object each.
+
+    Their names are hidden ones, which a scan passes over, so they are named in full and read one by one; there is one for each vault.
+    """
+    schema = "created_at string, anchor_date string, persona struct<name:string>, generation struct<mode:string>"
+    raw = spark.createDataFrame([(p.rsplit("/", 2)[-2], _read_small(spark, p)) for p in paths], "vault string, text string")
+    m = F.from_json("text", schema)
+    return raw.select("vault", m["persona"]["name"].alias("name"), m["generation"]["mode"].alias("mode"), m["created_at"].alias("created_at"), m["anchor_date"].alias("anchor_date"))

@@ -24,9 +24,9 @@ def week_counts(events: DataFrame) -> DataFrame:
     return events.withWatermark("ts", LATENESS).groupBy(week.alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.to_date("w.start").alias("week"), "event_type", "n")
 
 
-def first_of_each(events: DataFrame, keys: list[str]) -> DataFrame:
-    """Each key once within the lateness: what has been shown is not shown again."""
-    return events.withWatermark("ts", LATENESS).dropDuplicatesWithinWatermark(keys)
+def first_of_each(events: DataFrame, keys: list[str], lateness: str = LATENESS) -> DataFrame:
+    """Each key once within the lateness: what has been shown is not shown again. The state holds the keys of that time."""
+    return events.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(keys)
 
 
 def drain(stream: DataFrame, sink: Callable[[DataFrame, int], None] | None = None, checkpoint: str | None = None) -> DataFrame | None:
