@@ -24,6 +24,15 @@ def scored(tasks: DataFrame, as_of: str) -> DataFrame:
     return out.select("item", "project", "priority", "p", "streak", "occurrences", ranking.mismatch(F.col("priority"), F.col("p")).alias("flag"))
 
 
+def scored_candidates(candidates: DataFrame, tasks: DataFrame, as_of: str) -> DataFrame:
+    """Candidates (item, prior_tag, soon) with priority, completion and flag. One without history in the last seven notes has neither streak nor rate, so those terms are left out."""
+    stats = ranking.history_stats(ranking.history(tasks, as_of))
+    pool = candidates.join(stats, "item", "left")
+    out = pool.withColumn("priority", ranking.priority_tag(F.lit(False), F.lit(False), F.col("prior_tag")))
+    out = out.withColumn("p", ranking.completion(F.col("priority"), F.col("soon"), F.length("item") <= 6, F.col("streak"), F.col("rate")))
+    return out.select("item", "priority", "p", "streak", "occurrences", ranking.mismatch(F.col("priority"), F.col("p")).alias("flag"))
+
+
 def top(tasks: DataFrame, as_of: str, most: int = 10) -> DataFrame:
     return ranking.ranked(scored(tasks, as_of), most).select("item", "project", "priority", "p")
 

@@ -2,33 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import arrays, dates, text
-from ..operators import checks, classify, graph, matching, ranking, reconcile, roles, search, tags
+from ..operators import checks, classify, graph, matching, planning, ranking, reconcile, roles, search, tags
 from ..session import table
 from ..sources import enex
 from ..streaming import events as streams
-from . import daily, views
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-T = table
-
+from . import check_queries, daily, file_queries, note_queries, planning_queries, views
+from .registry import ORACLES, QUERIES, query
 
-def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name or f.__name__] = f
-        if sql:
-            ORACLES[name or f.__name__] = sql
-        return f
+__all__ = ["ORACLES", "QUERIES", "check_queries", "file_queries", "note_queries", "planning_queries"]
 
-    return add
+T = table
 
 
 _DAILY = f"WITH {views.TASKS}, {daily.SQL.strip()}"
@@ -87,18 +74,20 @@ def cls_screened_by_source(s, d):
 
 @query(f"WITH {views.LINES}, w AS (SELECT norm, min(doc_id) AS doc_id, count(*) AS n FROM norms GROUP BY norm) SELECT a.doc_id AS daily_id, b.doc_id AS weekly_id, b.n AS n_weekly FROM daily AS a JOIN w AS b ON substr(a.norm, 1, 30) = substr(b.norm, 1, 30) AND {views.MATCH}")
 def match_prefix30(s, d):
-    weekly = views.norms(s, d).groupBy("norm").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
-    return matching.match_items(views.daily(s, d), weekly).select(F.col("doc_id").alias("daily_id"), F.col("r_doc_id").alias("weekly_id"), F.col("r_n").alias("n_weekly"))
+    lines, weekly = views.daily(s, d).select(F.col("doc_id").alias("daily_id"), "norm"), views.norms(s, d).select("doc_id", "norm")
+    # Equal lines are one, by their hash.
+    one = matching.keyed(weekly, lines).groupBy("own").agg(F.min("doc_id").alias("weekly_id"), F.count("*").alias("n_weekly"), F.first("heads").alias("heads"))
+    return matching.join_keyed(matching.keyed(lines, weekly), one)
 
 
-@query(f"WITH {views.LINES} SELECT doc_id, norm FROM daily AS a WHERE NOT EXISTS (SELECT 1 FROM norms AS b WHERE b.doc_id % 2 = 0 AND substr(a.norm, 1, 30) = substr(b.norm, 1, 30) AND {views.MATCH})")
+@query(f"WITH {views.LINES} SELECT doc_id, norm FROM daily AS a WHERE NOT EXISTS (SELECT 1 FROM norms AS b WHERE b.lang <> 'en' AND substr(a.norm, 1, 30) = substr(b.norm, 1, 30) AND {views.MATCH})")
 def dedupe_existing(s, d):
-    return matching.match_items(views.daily(s, d), views.norms(s, d).where("doc_id % 2 = 0"), "left_anti").select("doc_id", "norm")
+    return matching.match_items(views.daily(s, d), views.norms(s, d).where("lang <> 'en'"), "left_anti").select("doc_id", "norm")
 
 
-@query(f"WITH {views.LINES} SELECT doc_id FROM daily AS a WHERE doc_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM norms AS b WHERE b.lang = 'en' AND substr(a.norm, 1, 30) = substr(b.norm, 1, 30) AND {views.MATCH})")
+@query(f"WITH {views.LINES} SELECT doc_id FROM daily AS a WHERE NOT EXISTS (SELECT 1 FROM norms AS b WHERE b.lang = 'en' AND substr(a.norm, 1, 30) = substr(b.norm, 1, 30) AND {views.MATCH})")
 def completed_unplanned(s, d):
-    return matching.match_items(views.daily(s, d).where("doc_id % 2 = 0"), views.norms(s, d).where("lang = 'en'"), "left_anti").select("doc_id")
+    return matching.match_items(views.daily(s, d), views.norms(s, d).where("lang = 'en'"), "left_anti").select("doc_id")
 
 
 _WEEKS = f"WITH {views.TASKS}, u AS (SELECT DISTINCT item, day - dayofweek(day)::INT AS week FROM tasks WHERE NOT checked)"
@@ -152,7 +141,7 @@ def slug(s, d):
     return T(s, d, "part").select("p_partkey", text.slug(F.concat("p_name", F.lit(" ("), "p_type", F.lit(")"))).alias("slug"))
 
 
-@query(r"""WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(substr(text, 1, 400), '[\\/:*?"<>|#^\[\]]', '-', 'g'), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS t FROM documents) SELECT doc_id, CASE WHEN regexp_replace(substr(t, 1, 150), '^\s+|\s+$', '', 'g') = '' THEN 'untitled' ELSE regexp_replace(substr(t, 1, 150), '^\s+|\s+$', '', 'g') END AS name FROM c""")
+@query(r"""WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\\/:*?"<>|#^\[\]]', '-', 'g'), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS t FROM documents) SELECT doc_id, CASE WHEN regexp_replace(substr(t, 1, 150), '^\s+|\s+$', '', 'g') = '' THEN 'untitled' ELSE regexp_replace(substr(t, 1, 150), '^\s+|\s+$', '', 'g') END AS name FROM c""")
 def sanitize_filename(s, d):
     return T(s, d, "documents").select("doc_id", text.sanitize_filename(F.col("text")).alias("name"))
 
@@ -191,13 +180,6 @@ def weekend_days(s, d):
     return T(s, d, "orders").groupBy(dates.day_of_week(day).alias("dow"), dates.is_weekend(day).alias("weekend")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT s_suppkey, lpad((s_suppkey % 24)::VARCHAR, 2, '0') || ':' || CASE WHEN s_suppkey % 2 = 0 THEN '30' ELSE '00' END AS clock, CASE s_suppkey % 3 WHEN 0 THEN 'weekdays' WHEN 1 THEN 'daily' ELSE 'Fridays' END || ' at ' || lpad((s_suppkey % 24)::VARCHAR, 2, '0') || ':' || CASE WHEN s_suppkey % 2 = 0 THEN '30' ELSE '00' END AS schedule FROM supplier")
-def cron_human(s, d):
-    clock = F.concat(F.lpad((F.col("s_suppkey") % 24).cast("string"), 2, "0"), F.lit(":"), F.when(F.col("s_suppkey") % 2 == 0, "30").otherwise("00"))
-    said = F.concat(F.when(F.col("s_suppkey") % 3 == 0, "every weekday").when(F.col("s_suppkey") % 3 == 1, "daily").otherwise("on Friday"), F.lit(" "), clock)
-    return T(s, d, "supplier").select("s_suppkey", clock.alias("clock"), dates.cron_human(dates.cron_of(said)).alias("schedule"))
-
-
 def _search(name: str, q: str, where: str) -> None:
     query(f"WITH {views.NOTES} SELECT path FROM notes WHERE {where}", name)(lambda s, d: search.search(views.notes(s, d), q).select("path"))
 
@@ -297,10 +279,10 @@ def links_extract(s, d):
     return graph.hrefs(T(s, d, "pages"))
 
 
-@query(_HREFS + " SELECT src, target FROM e WHERE target NOT IN (SELECT target FROM e GROUP BY target HAVING count(*) > 2)")
+@query(_HREFS + " SELECT src, target FROM e WHERE target NOT IN (SELECT target FROM e GROUP BY target HAVING count(*) > 8)")
 def links_unresolved(s, d):
     e = graph.hrefs(T(s, d, "pages"))
-    return graph.unresolved(e, e.groupBy("target").count().where("count > 2").select(F.col("target").alias("title")))
+    return graph.unresolved(e, e.groupBy("target").count().where("count > 8").select(F.col("target").alias("title")))
 
 
 @query(_HREFS + " SELECT target, count(*) AS n_links, count(DISTINCT src) AS n_sources FROM e GROUP BY target")
@@ -457,11 +439,10 @@ def stream_week_counts(s, d):
     return streams.drain(streams.week_counts(streams.read_events(s, d)))
 
 
-@query("SELECT DISTINCT user_id, event_type FROM events WHERE user_id % 5 = 0")
+@query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedupe(s, d):
-    seen = streams.drain(streams.first_of_each(streams.read_events(s, d).where("user_id % 5 = 0"), ["user_id", "event_type"]))
-    # Across the lateness a key may be shown again; the batch side keeps each once.
-    return seen.select("user_id", "event_type").distinct()
+    # The lateness covers the whole stream, so each key is shown once by the stream itself.
+    return streams.drain(streams.first_of_each(streams.read_events(s, d), ["user_id", "event_type"], "36500 days")).select("user_id", "event_type")
 
 
 @query("SELECT o_orderkey, greatest(least(DATE '2001-08-01', o_orderdate::DATE + 1), DATE '2001-08-01' - 29) AS floor FROM orders")
@@ -488,9 +469,7 @@ def tagging_gap(s, d):
 
 @query("WITH a AS (SELECT DISTINCT n_nationkey AS k FROM nation), b AS (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_acctbal > 5000) SELECT coalesce(a.k, b.k) AS k, a.k IS NOT NULL AS listed, b.k IS NOT NULL AS active FROM a FULL JOIN b ON a.k = b.k")
 def activity_gap(s, d):
-    a = T(s, d, "nation").select(F.col("n_nationkey").alias("k")).distinct().withColumn("listed", F.lit(True))
-    b = T(s, d, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("k")).distinct().withColumn("active", F.lit(True))
-    return a.join(b, "k", "full_outer").select("k", F.coalesce("listed", F.lit(False)).alias("listed"), F.coalesce("active", F.lit(False)).alias("active"))
+    return planning.activity_gap(T(s, d, "nation").select(F.col("n_nationkey").alias("k")), T(s, d, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("k")), "k")
 
 
 @query("SELECT source, path, n FROM (SELECT source, lang AS path, count(*) AS n FROM documents GROUP BY ALL) UNION ALL SELECT source, source || '/' || lang, count(*) FROM documents GROUP BY ALL")

@@ -39,7 +39,7 @@ NOTES = "notes AS (SELECT doc_id, 'Resources/' || source || '/' || doc_id || '.m
 
 
 def norms(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "lang", item_norm(F.col("text")).alias("norm"))
+    return table(spark, d, "documents").select("doc_id", "lang", "source", item_norm(F.col("text")).alias("norm"))
 
 
 def daily(spark: SparkSession, d: str) -> DataFrame:
@@ -49,7 +49,7 @@ def daily(spark: SparkSession, d: str) -> DataFrame:
 
 
 NORM = r"lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\s*`?\[P[123]\]`?\s*$', ''), '(?i)\s*\(due today\)\s*$', ''), '[`*_.,;:!?]+', '', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'))"
-LINES = f"""norms AS (SELECT doc_id, lang, {NORM} AS norm FROM documents),
+LINES = f"""norms AS (SELECT doc_id, lang, source, {NORM} AS norm FROM documents),
 daily AS (SELECT doc_id, lang, substr(norm, 1, (25 + doc_id % 40)::INT) AS norm FROM norms WHERE doc_id % 3 = 0)"""
 MATCH = "(a.norm = b.norm OR (least(length(a.norm), length(b.norm)) >= 30 AND (starts_with(a.norm, b.norm) OR starts_with(b.norm, a.norm))))"
 
