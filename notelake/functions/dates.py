@@ -54,10 +54,10 @@ def weeks_back(d: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: plan_label(F.date_sub(week_start(d), k * 7)))
 
 
-def cron_of(c: Column, named_days: bool = False) -> Column:
+def cron_of(c: Column, strict_reference: bool = False) -> Column:
     """Five cron fields of an English frequency; 06:00 unless a time with am or pm is named. Five fields stand as they are.
 
-    Tuesday to Thursday count as daily, as they do where this form comes from; ``named_days`` tells them apart.
+    ``strict_reference`` reads Tuesday to Thursday as daily, as the specification does.
     """
     text = F.lower(c)
     fields = r"^[-0-9*/,]+( [-0-9*/,]+){4}$"
@@ -67,7 +67,7 @@ def cron_of(c: Column, named_days: bool = False) -> Column:
     h = F.when(half == "", "6").when((half == "pm") & (n < 12), (n + 12).cast("string")).when((half == "am") & (n == 12), "0").otherwise(hour)
     m = F.when(minute == "", "0").otherwise(F.coalesce(minute.try_cast("int").cast("string"), F.lit("0")))
     day = F.when(text.contains("weekday") | text.contains("mon-fri"), "1-5").when(text.contains("sun"), "0").when(text.contains("monday"), "1")
-    if named_days:
+    if not strict_reference:
         day = day.when(text.contains("tuesday"), "2").when(text.contains("wednesday"), "3").when(text.contains("thursday"), "4")
     day = day.when(text.contains("fri"), "5").when(text.contains("saturday"), "6").when(text.contains("day") | text.contains("daily"), "*").when(text.contains("weekly"), "0").otherwise("*")
     return F.when(text.rlike(fields), text).otherwise(F.concat_ws(" ", m, h, F.lit("*"), F.lit("*"), day))

@@ -407,7 +407,7 @@ _CRON = [
 
 @query(f"SELECT * FROM (VALUES {_values(_CRON)}) AS v(frequency, cron, said)")
 def cron(s, d):
-    own = dates.cron_of(F.col("frequency"))
+    own = dates.cron_of(F.col("frequency"), strict_reference=True)
     return s.createDataFrame([(f,) for f, *_ in _CRON], "frequency string").select("frequency", own.alias("cron"), dates.cron_human(own).alias("said"))
 
 

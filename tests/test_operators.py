@@ -1,0 +1,86 @@
+"""Vault operators that a query's SQL can't show: matching against its rule, guards, the engine's passes."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from notelake import session
+from notelake.functions import dates, text
+from notelake.operators import engine, matching, planning, reconcile
+from notelake.sources import enex, sinks
+
+
+def rule(a, b):
+    return a is not None and b is not None and (a == b or (min(len(a), len(b)) >= 30 and (a.startswith(b) or b.startswith(a))))
+
+
+def test_matching_against_its_rule(spark):
+    r = random.Random(3)
+    base = ["".join(r.choice("ab") for _ in range(80)) for _ in range(3)]
+    lines = lambda n: [r.choice(base)[: r.choice([5, 28, 29, 30, 31, 45, 80])] + r.choice(["", "", "é", "x" * 20]) for _ in range(n)] + [None, "", base[0]]
+    left, right = lines(60), lines(50)
+    lf = spark.createDataFrame(list(enumerate(left)), "i long, norm string")
+    rf = spark.createDataFrame(list(enumerate(right)), "j long, norm string")
+    want = {(i, j) for i, a in enumerate(left) for j, b in enumerate(right) if rule(a, b)}
+    pairs = matching.match_items(lf, rf).select("i", "r_j").collect()
+    assert len(pairs) == len(want) and {tuple(p) for p in pairs} == want
+    hit = {i for i, _ in want}
+    assert {x["i"] for x in matching.match_items(lf, rf, "left_semi").collect()} == hit
+    assert {x["i"] for x in matching.match_items(lf, rf, "left_anti").collect()} == set(range(len(left))) - hit
+    flipped = reconcile.flip_completed(lf.withColumn("checked", F.lit(False)), rf)
+    assert {x["i"] for x in flipped.collect() if x["checked"]} == hit and flipped.count() == len(left)
+    assert matching.match_items(lf.limit(0), rf).count() == 0 and matching.match_items(lf, rf.limit(0), "left_anti").count() == len(left)
+
+
+def test_a_flip_changes_nothing_but_the_box(spark):
+    rows = ["- [ ] Ship it `[P1]`", "    - [ ] ship it", "- [x] Ship it", "- [ ] Other", "text - [ ] Ship it", ""]
+    lines = spark.createDataFrame(list(enumerate(rows)), "pos long, line string")
+    done = spark.createDataFrame([("ship it",)], "norm string")
+    got = [x["line"] for x in planning.flip_lines(lines, done, text.item_norm).orderBy("pos").collect()]
+    assert got == ["- [x] Ship it `[P1]`", "    - [x] ship it", *rows[2:]]
+    again = planning.flip_lines(spark.createDataFrame(list(enumerate(got)), "pos long, line string"), done, text.item_norm)
+    assert [x["line"] for x in again.orderBy("pos").collect()] == got
+
+
+def test_shared_folder(spark, monkeypatch):
+    assert session.shared_base(spark)
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            session.shared_base(spark)
+    spark.conf.set("spark.checkpoint.dir", "file:///shared/")
+    try:
+        assert session.shared_base(spark) == "file:///shared"
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
+
+
+def test_files_go_to_local_folders_only(spark, tmp_path):
+    rows = spark.createDataFrame([("a/b.md", "x")], "path string, content string")
+    for root in ("s3a://bucket/x", "viewfs://store/x"):
+        with pytest.raises(ValueError):
+            sinks.write_files(rows, root)
+    sinks.write_files(rows, f"file://{tmp_path}")
+    assert (tmp_path / "a/b.md").read_text() == "x"
+    with pytest.raises(Exception, match="PermissionError"):
+        sinks.write_files(rows.withColumn("path", F.lit("../out.md")), str(tmp_path / "in"))
+
+
+def test_engine_gives_up_after_three_attempts(spark):
+    state = spark.createDataFrame([("a", "h1", None, "pending", 0), ("b", "h2", "h2", "done", 0), ("c", "h3", None, "pending", 2)], engine.STATE)
+    after = engine.run(state, lambda rows: rows.limit(0), 10)
+    assert {x["path"]: (x["state"], x["attempts"]) for x in after.collect()} == {"a": ("pending", 1), "b": ("done", 0), "c": ("failed", 3)}
+    assert engine.run(state, lambda rows: rows, 0).where("state = 'done'").count() == 1
+
+
+def test_days_named_beyond_the_specification(spark):
+    rows = spark.createDataFrame([("Tuesdays at 8am",), ("every thursday",)], "f string")
+    assert [x[0] for x in rows.select(dates.cron_of(F.col("f"))).collect()] == ["0 8 * * 2", "0 6 * * 4"]
+    assert [x[0] for x in rows.select(dates.cron_of(F.col("f"), strict_reference=True)).collect()] == ["0 8 * * *", "0 6 * * *"]
+
+
+def test_endings_are_the_standard_library_s():
+    assert enex.ENDINGS["image/png"] == ".png" and enex.ENDINGS["application/pdf"] == ".pdf" and len(enex.ENDINGS) > 80
