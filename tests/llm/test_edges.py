@@ -444,5 +444,3 @@ def test_pipeline_rows(spark, tmp_path):
         for x in sorted(rows, key=lambda x: x["start"]):
             assert x["start"] == at
             at += x["n_tokens"]
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, str(tmp_path / "full")).columns == docs.columns
