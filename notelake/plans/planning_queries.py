@@ -10,10 +10,13 @@ from ..session import table as T
 from . import daily, views
 from .registry import query
 
-TODAY = F.lit(views.AS_OF).cast("date")
 _TODAY = f"DATE '{views.AS_OF}'"
 
 
+def _today():
+    return F.lit(views.AS_OF).cast("date")
+
+
 # Candidates and history.
 
 _DAILY = f"WITH {views.TASKS}, {daily.SQL.strip()}, c AS (SELECT item, min(prior_tag) AS priority, bool_or(day >= {_TODAY} - 3) AS soon FROM tasks GROUP BY item UNION ALL SELECT 'new-' || r_regionkey, 'P1', r_regionkey % 2 = 0 FROM region)"
@@ -27,7 +30,7 @@ _DAILY = f"WITH {views.TASKS}, {daily.SQL.strip()}, c AS (SELECT item, min(prior
 )
 def candidates_scored(s, d):
     t = views.tasks(s, d)
-    own = t.groupBy("item").agg(F.min("prior_tag").alias("prior_tag"), F.max(F.col("day") >= F.date_sub(TODAY, 3)).alias("soon"))
+    own = t.groupBy("item").agg(F.min("prior_tag").alias("prior_tag"), F.max(F.col("day") >= F.date_sub(_today(), 3)).alias("soon"))
     new = T(s, d, "region").select(F.concat(F.lit("new-"), "r_regionkey").alias("item"), F.lit("P1").alias("prior_tag"), (F.col("r_regionkey") % 2 == 0).alias("soon"))
     return daily.scored_candidates(own.unionByName(new), t, views.AS_OF).select("item", "priority", "p", "streak", "occurrences")
 
@@ -153,12 +156,12 @@ def calendar_match(s, d):
 
 @query(f"SELECT o_orderkey FROM orders WHERE o_orderdate::DATE BETWEEN {_TODAY} - 1 AND {_TODAY}")
 def meetings_past_two_days(s, d):
-    return T(s, d, "orders").where(dates.in_past_two_days(F.to_date("o_orderdate"), TODAY)).select("o_orderkey")
+    return T(s, d, "orders").where(dates.in_past_two_days(F.to_date("o_orderdate"), _today())).select("o_orderkey")
 
 
 @query(f"SELECT o_orderkey FROM orders WHERE o_orderdate::DATE >= {_TODAY} - dayofweek({_TODAY})::INT - 7 AND o_orderdate::DATE < {_TODAY} - dayofweek({_TODAY})::INT")
 def meetings_prior_week(s, d):
-    return T(s, d, "orders").where(dates.in_prior_week(F.to_date("o_orderdate"), TODAY)).select("o_orderkey")
+    return T(s, d, "orders").where(dates.in_prior_week(F.to_date("o_orderdate"), _today())).select("o_orderkey")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderdate::DATE BETWEEN DATE '1998-03-01' AND DATE '1998-04-15' AND contains(lower(o_orderpriority), 'high')")
@@ -447,7 +450,7 @@ def vocab_seeded(s, d):
 @query(f"WITH {views.TASKS} SELECT item, CASE WHEN bool_or(day >= {_TODAY} - 2) THEN 'P1' ELSE 'P2' END AS priority FROM tasks GROUP BY item")
 def rnk_without_priorities(s, d):
     """Without a priorities file only deadlines and the calendar speak; there is no prior tag."""
-    t = views.tasks(s, d).groupBy("item").agg(F.max(F.col("day") >= F.date_sub(TODAY, 2)).alias("soon"))
+    t = views.tasks(s, d).groupBy("item").agg(F.max(F.col("day") >= F.date_sub(_today(), 2)).alias("soon"))
     return t.select("item", ranking.priority_tag(F.col("soon"), F.lit(False)).alias("priority"))
 
 
