@@ -84,3 +84,13 @@ def test_days_named_beyond_the_specification(spark):
 
 def test_endings_are_the_standard_library_s():
     assert enex.ENDINGS["image/png"] == ".png" and enex.ENDINGS["application/pdf"] == ".pdf" and len(enex.ENDINGS) > 80
+
+
+def test_the_entry_can_be_imported_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).parent.parent
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, timeout=120).returncode == 0
