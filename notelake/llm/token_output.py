@@ -64,7 +64,7 @@ class ChunkEncoder:
     model, any other by the whole tokenizer. Under any other rule texts go to the tokenizer whole.
     """
 
-    def __init__(self, tokenizer_json: str, most: int = 600_000) -> None:
+    def __init__(self, tokenizer_json: str, most: int = 350_000) -> None:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.size < 1 << 16 else "<u4")
@@ -140,13 +140,16 @@ class ChunkEncoder:
             if len(distinct[k]) <= 64:
                 self.chunks[distinct[k]] = x
         flat = np.frombuffer(b"".join(spelt), self.dtype)
-        sizes = np.fromiter(map(len, spelt), np.int64, len(spelt)) // self.width
-        begins = np.cumsum(sizes) - sizes
-        order = np.insert(numbered.indices.to_numpy().astype(np.int64), bounds[1:], len(distinct))
+        # A slab's ids are counted in 32 bits, as its bytes are in Arrow's offsets.
+        sizes = np.fromiter(map(len, spelt), np.int32, len(spelt)) // self.width
+        begins = np.cumsum(sizes, dtype=np.int32) - sizes
+        order = np.insert(numbered.indices.to_numpy(), bounds[1:], len(distinct))
         lengths = sizes[order]
-        reached = np.cumsum(lengths)
-        ids = flat[np.repeat(begins[order] - reached + lengths, lengths) + np.arange(reached[-1] if len(reached) else 0)]
-        marks = np.concatenate(([0], reached))[bounds + np.arange(len(bounds))]
+        reached = np.cumsum(lengths, dtype=np.int32)
+        at = np.repeat(begins[order] - reached + lengths, lengths)
+        at += np.arange(len(at), dtype=np.int32)
+        ids = flat[at]
+        marks = np.concatenate(([0], reached))[bounds + np.arange(len(bounds))].astype(np.int64)
         return ids, np.diff(marks)
 
     def encode(self, text: str) -> bytes:
@@ -182,7 +185,7 @@ def _strings(column: pa.StringArray) -> list[str]:
     return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column), "\n")[0].as_py().split("\n")
 
 
-def _slabs(texts: pa.StringArray, most: int = 1 << 23) -> Iterator[tuple[int, int]]:
+def _slabs(texts: pa.StringArray, most: int = 3 << 20) -> Iterator[tuple[int, int]]:
     """Bounds (start, number) of runs of texts that end with the text that takes them to ``most`` bytes; an index per id is held for one run at a time."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0

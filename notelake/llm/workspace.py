@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,14 +49,19 @@ def column(name: str) -> Column:
 def held(key: Any, make: Callable[[], Any]) -> Any:
     """What a Python worker keeps from task to task under ``key``. It keeps one thing at a time, as workers outlive stages and share an executor's memory."""
     if key not in _held:
-        _held.clear()
+        let_go()
         _held[key] = make()
     return _held[key]
 
 
 def let_go() -> None:
-    """Frees what an earlier stage's tasks kept in this worker."""
-    _held.clear()
+    """Frees what an earlier stage's tasks kept in this worker, and gives its memory back to the machine, as far as the C library can."""
+    if _held:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str:
