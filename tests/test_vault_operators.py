@@ -45,17 +45,18 @@ def test_a_flip_changes_nothing_but_the_box(spark):
     assert [x["line"] for x in again.orderBy("pos").collect()] == got
 
 
-def test_shared_folder(spark, monkeypatch):
-    assert session.shared_base(spark)
-    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
-    if not spark.conf.get("spark.checkpoint.dir", None):
+def test_shared_folder():
+    from types import SimpleNamespace as Name
+
+    def of(master, folder=None):
+        get = lambda key, default=None: folder
+        return session.shared_base(Name(conf=Name(get=get), sparkContext=Name(getConf=lambda: Name(get=get), master=master, applicationId="test-app")))
+
+    assert of("spark://host:7077", "file:///shared/") == "file:///shared"
+    assert of("local[4]") == of("local")
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1000]"):
         with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-            session.shared_base(spark)
-    spark.conf.set("spark.checkpoint.dir", "file:///shared/")
-    try:
-        assert session.shared_base(spark) == "file:///shared"
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+            of(master)
 
 
 def test_files_go_to_local_folders_only(spark, tmp_path):
