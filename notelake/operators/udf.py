@@ -46,11 +46,16 @@ def call_stats(calls: DataFrame) -> DataFrame:
     return calls.agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in ("live", "cache", "failed")])
 
 
-def keyword_tagger(notes: DataFrame, vocabulary: DataFrame, body: str = "body", path: str = "path") -> DataFrame:
-    """path, tag: a note gets each vocabulary tag whose last segment is one of its words."""
+def keyword_tagger(notes: DataFrame, vocabulary: DataFrame, body: str = "body", path: str = "path", broadcast_tags: int = 100_000) -> DataFrame:
+    """path, tag: a note gets each vocabulary tag whose last segment is one of its words.
+
+    A vocabulary of up to ``broadcast_tags`` tags is broadcast; a larger one is joined by a shuffle. The notes' words,
+    which the optimizer takes for few where the notes' source is well compressed, are never broadcast.
+    """
     words = notes.select(path, F.explode(F.array_distinct(F.split(F.lower(body), r"[^\p{L}\p{N}]+"))).alias("word")).where("word <> ''")
     tags = vocabulary.select("tag", F.element_at(F.split("tag", "/"), -1).alias("word")).distinct()
-    return words.join(tags, "word").select(path, "tag")
+    few = tags.limit(broadcast_tags + 1).count() <= broadcast_tags
+    return (words.join(F.broadcast(tags), "word") if few else words.hint("merge").join(tags, "word")).select(path, "tag")
 
 
 class Roles:

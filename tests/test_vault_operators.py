@@ -95,3 +95,16 @@ def test_the_entry_can_be_imported_without_a_session():
     root = Path(__file__).parent.parent
     code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
     assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, timeout=120).returncode == 0
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_a_tagger_never_broadcasts_words(spark, tmp_path, most):
+    """Of notes whose source is so well compressed that the optimizer takes their words for few."""
+    from notelake.operators import udf
+
+    spark.range(2000).select(F.concat(F.lit("p"), "id").alias("path"), F.repeat(F.lit("Alpha beta "), 50).alias("body")).write.parquet(f"{tmp_path}/notes")
+    tags = spark.createDataFrame([("x/alpha",), ("beta",), ("gamma",)], "tag string")
+    out = udf.keyword_tagger(spark.read.parquet(f"{tmp_path}/notes"), tags, **({} if most else {"broadcast_tags": most}))
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert ("BuildRight" in plan if most else "SortMergeJoin" in plan) and "BuildLeft" not in plan
+    assert sorted((x["tag"], x["count"]) for x in out.groupBy("tag").count().collect()) == [("beta", 2000), ("x/alpha", 2000)]
