@@ -25,6 +25,11 @@ SKILL_ALIASES = {"weekly-plan": "weekly-planning", "daily-planning": "daily-plan
 ROUTINE_ALIASES = {"weekly-plan-update": "weekly-plan-daily-update", "weekly-memory": "memory"}
 
 
+def once(c: Column) -> Column:
+    """The same value, computed once. The test always holds, but as the optimizer can't know, it does not copy what makes the value into every filter and lambda that reads it."""
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 def trim_ws(c: Column) -> Column:
     """Without white space at either end (``trim`` alone strips blanks only)."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import once
+
 PREFIX = 30
 
 
@@ -25,20 +27,15 @@ def digest(text: Column) -> Column:
 
 def _lengths(df: DataFrame, norm: str) -> Column:
     """The lengths, of PREFIX on, that lines of a side have, as a scalar subquery; as many as there are characters in its longest line at most."""
-    size = _once(F.length(norm))
+    size = once(F.length(norm))
     return df.select(size.alias("n")).where(F.col("n") >= PREFIX).agg(F.sort_array(F.collect_set("n"))).scalar()
 
 
-def _once(c: Column) -> Column:
-    """The same value, computed once. The test always holds, but as the optimizer can't know, it does not copy what makes a line into every filter and lambda that reads it."""
-    return F.when(F.monotonically_increasing_id() >= 0, c)
-
-
 def keyed(df: DataFrame, other: DataFrame, norm: str = "norm", other_norm: str = "norm") -> DataFrame:
     """``df`` without its lines, but with ``own`` (the line's hash) and ``heads`` (of its beginnings of the other side's lengths, those shorter than it). Rows with a null line are left out."""
     rest = [c for c in df.columns if c != norm]
-    known = df.select(*rest, _once(F.col(norm)).alias("line__")).where("line__ IS NOT NULL")
-    known = known.select(*rest, "line__", _once(F.length("line__")).alias("size__"), _lengths(other, other_norm).alias("lengths__"))
+    known = df.select(*rest, once(F.col(norm)).alias("line__")).where("line__ IS NOT NULL")
+    known = known.select(*rest, "line__", once(F.length("line__")).alias("size__"), _lengths(other, other_norm).alias("lengths__"))
     shorter = F.filter("lengths__", lambda n: n < F.col("size__"))
     return known.select(*rest, digest(F.col("line__")).alias("own"), F.transform(shorter, lambda n: digest(F.substring(F.col("line__"), F.lit(1), n))).alias("heads"))
 

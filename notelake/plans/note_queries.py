@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, dates, text
 from ..operators import checks, graph, planning, reconcile, search, tags, udf
+from ..session import spread
 from ..session import table as T
 from ..sources import enex, sinks, vault
 from . import views
@@ -68,7 +69,8 @@ def notes(s: SparkSession, d: str) -> DataFrame:
     front = fill(_FRONT, N=called, S=F.lower("c_mktsegment"), H=F.when(k % 2 == 0, F.substring(F.sha2(body, 256), 1, 16)).otherwise("stale"), Q=k % 100)
     whole = F.when(k % 15 == 0, F.concat(F.lit("---\ntitle: x\n"), body)).when(k % 5 == 0, body).otherwise(F.concat(front, body))
     name = F.concat(called, F.lit(".md"))
-    return T(s, d, "customer").select(k.alias("k"), F.concat(F.lit("Projects/"), "c_mktsegment", F.lit("/"), name).alias("path"), name.alias("name"), whole.alias("text"))
+    rows = spread(T(s, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey")
+    return rows.select(k.alias("k"), F.concat(F.lit("Projects/"), "c_mktsegment", F.lit("/"), name).alias("path"), name.alias("name"), whole.alias("text"))
 
 
 def parsed(s: SparkSession, d: str) -> DataFrame:

@@ -39,6 +39,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The same rows dealt out by ``key`` over three tasks a core. A well compressed table lies in few row groups, each read by one task; where much is made of each row, that task would be the whole job."""
+    return df.repartition(3 * max(1, df.sparkSession.sparkContext.defaultParallelism), key)
+
+
 _own_base: dict[str, str] = {}
 
 

@@ -11,38 +11,43 @@ from pyspark.sql.window import Window
 
 from ..functions.arrays import as_list
 from ..functions.dates import daily_note_day
-from ..functions.text import body_hash, domain_of, escape_pipe, field, role_alias, strip_comments, trim_ws
+from ..functions.text import body_hash, domain_of, escape_pipe, field, once, role_alias, strip_comments, trim_ws
 
 CONTENT_FOLDERS = ("Projects", "Areas", "Resources", "Archive", "Clippings")
 SEED_FOLDERS = ("Projects", "Areas")
 #: Documents at the root and in folders that tagging leaves alone.
 UNTAGGED = ("CLAUDE.md", "README.md")
 
-_FRONT = r"(?s)\A---\n(.*?\n)??---\n(.*)\z"
+_KEY = r"^[\w.-]+:"
 
 
 def parse_notes(files: DataFrame, text: str = "text") -> DataFrame:
-    """Adds has_frontmatter, frontmatter (map of string lists), body, tags, tagged_hash and body_hash. Only a first line of exactly ``---`` opens frontmatter; an unclosed block is body."""
-    lf = F.replace(F.col(text), F.lit("\r\n"), F.lit("\n"))
-    out = files.withColumn(text, lf)
-    has = F.col(text).rlike(_FRONT)
-    out = out.withColumns({"has_frontmatter": has, "__front": F.when(has, F.regexp_extract(text, _FRONT, 1)).otherwise(""), "body": F.when(has, F.regexp_extract(text, _FRONT, 2)).otherwise(F.col(text))})
+    """Adds has_frontmatter, frontmatter (map of string lists), body, tags, tagged_hash and body_hash. Only a first line of exactly ``---`` opens frontmatter; an unclosed block is body.
+
+    Each step is computed once a note: the next would else copy it into every place that reads it, lambdas included.
+    """
+    out = files.withColumn(text, once(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n"))))
+    # Where the line end before the closing rule stands; from 4, the one that ends the opening rule.
+    out = out.withColumn("__end", once(F.when(F.col(text).startswith("---\n"), F.locate("\n---\n", F.col(text), 4)).otherwise(0)))
+    end = F.col("__end")
+    out = out.withColumns({"has_frontmatter": F.when(F.col(text).isNotNull(), end > 0), "body": once(F.when(end > 0, F.substr(text, end + 5)).otherwise(F.col(text)))})
+    front = F.when(end > 0, F.substring(F.col(text), F.lit(5), end - 4)).otherwise("")
     # A list over several lines is folded into one before lines are read.
-    folded = F.regexp_replace(F.regexp_replace("__front", r"(?m)^([\w.-]+):[ \t]*$(?=\n[ \t]*-)", "$1: \u0001"), r"(?m)\n?^[ \t]*-[ \t]+(.*)$", "\u0002$1")
-    lines = F.filter(F.split(folded, "\n"), lambda x: x.rlike(r"^[\w.-]+:"))
+    folded = F.regexp_replace(F.regexp_replace(front, r"(?m)^([\w.-]+):[ \t]*$(?=\n[ \t]*-)", "$1: \u0001"), r"(?m)\n?^[ \t]*-[ \t]+(.*)$", "\u0002$1")
+    lines = F.filter(F.split(folded, "\n"), lambda x: x.rlike(_KEY))
+    raw = F.transform(lines, lambda x: F.struct(F.split_part(x, F.lit(":"), F.lit(1)).alias("key"), trim_ws(F.regexp_replace(x, _KEY, "")).alias("raw")))
 
-    def value(line: Column) -> Column:
-        raw = trim_ws(F.regexp_replace(line, r"^[\w.-]+:", ""))
-        many = F.filter(F.transform(F.split(F.regexp_replace(raw, "\u0001", ""), "\u0002"), lambda x: F.regexp_replace(trim_ws(x), "^[\"']|[\"']$", "")), lambda x: x != "")
+    def value(raw: Column) -> Column:
+        many = F.filter(F.transform(F.split(F.replace(raw, F.lit("\u0001"), F.lit("")), "\u0002"), lambda x: F.regexp_replace(trim_ws(x), "^[\"']|[\"']$", "")), lambda x: x != "")
         return F.when(raw.contains("\u0002"), many).otherwise(as_list(raw))
 
-    entries = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^([\w.-]+):", 1).alias("key"), value(x).alias("value")))
-    keys = F.transform(entries, lambda e: e["key"])
+    out = out.withColumn("__entries", once(F.transform(raw, lambda e: F.struct(e["key"].alias("key"), value(e["raw"]).alias("value")))))
+    out = out.withColumn("__keys", once(F.transform("__entries", lambda e: e["key"])))
     # The first of repeated keys counts.
-    first = F.filter(entries, lambda e, k: F.array_position(keys, e["key"]) == k + 1)
-    out = out.withColumn("frontmatter", F.map_from_entries(first))
+    first = F.filter("__entries", lambda e, k: F.array_position(F.col("__keys"), e["key"]) == k + 1)
+    out = out.withColumn("frontmatter", once(F.map_from_entries(first)))
     one = lambda k: F.try_element_at(F.try_element_at(F.col("frontmatter"), F.lit(k)), F.lit(1))
-    return out.withColumns({"tags": F.coalesce(F.try_element_at("frontmatter", F.lit("tags")), F.array().cast("array<string>")), "tagged_hash": one("tagged_hash"), "type": one("type"), "body_hash": body_hash(F.col("body"))}).drop("__front")
+    return out.withColumns({"tags": F.coalesce(F.try_element_at("frontmatter", F.lit("tags")), F.array().cast("array<string>")), "tagged_hash": one("tagged_hash"), "type": one("type"), "body_hash": body_hash(F.col("body"))}).drop("__end", "__entries", "__keys")
 
 
 def scan_notes(spark: SparkSession, root: str, folders: tuple[str, ...] = CONTENT_FOLDERS, taggable_only: bool = False) -> DataFrame:

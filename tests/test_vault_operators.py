@@ -108,3 +108,48 @@ def test_a_tagger_never_broadcasts_words(spark, tmp_path, most):
     plan = out._jdf.queryExecution().sparkPlan().toString()
     assert ("BuildRight" in plan if most else "SortMergeJoin" in plan) and "BuildLeft" not in plan
     assert sorted((x["tag"], x["count"]) for x in out.groupBy("tag").count().collect()) == [("beta", 2000), ("x/alpha", 2000)]
+
+
+def test_notes_are_parsed_once(spark):
+    """What a filter and several columns read is computed by one place of the plan; in every other it would be done again."""
+    from notelake.sources import vault
+
+    p = vault.parse_notes(spark.range(5).select(F.concat(F.lit("---\na: x\ntags: [b]\ntagged_hash: y\n---\n"), "id").alias("text")))
+    p = p.where("map_contains_key(frontmatter, 'a') AND tagged_hash <> body_hash AND size(tags) > 0").select("tags", "type", F.explode("tags").alias("tag"))
+    plan = p._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("map_from_entries") == 1 and plan.count("---") <= 4
+    assert [x["tag"] for x in p.collect()] == ["b"] * 5
+
+
+def test_frontmatter_ends_at_its_rule(spark):
+    import re
+
+    from notelake.sources import vault
+
+    pieces = ["---", "", "x: 1", "x: 2", "tags:", "  - a", "---x", "--- ", "é"]
+    r = random.Random(5)
+    texts = ["\n".join(["---"] * (k % 3 > 0) + [r.choice(pieces) for _ in range(r.randrange(7))]) for k in range(300)] + ["", "---", "---\n", "---\n---", "---\n---\n", "---\r\nx: 1\r\n---\r\nz\r\n", None]
+    got = vault.parse_notes(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).select("i", "has_frontmatter", "body", "frontmatter").collect()
+    for row in got:
+        text = texts[row["i"]]
+        if text is None:
+            assert row["has_frontmatter"] is None and row["body"] is None
+            continue
+        m = re.match(r"(?s)\A---\n(.*?\n)??---\n(.*)\Z", text.replace("\r\n", "\n"))
+        assert (row["has_frontmatter"], row["body"]) == ((True, m[2]) if m else (False, text.replace("\r\n", "\n")))
+        first = re.search(r"(?m)^x: (\d)$", m[1] or "") if m else None
+        if "  - a" not in (m[1] or "" if m else ""):
+            assert row["frontmatter"].get("x") == ([first[1]] if first else None)
+
+
+def test_rows_of_one_row_group_are_dealt_out(spark):
+    """The notes' table lies in one row group; parsing it is more than one task's work."""
+    from pathlib import Path
+
+    from notelake.plans import note_queries
+
+    data = "/root/testdata/sf0.001"
+    if not Path(data).exists():
+        pytest.skip("no test tables here")
+    used = note_queries.parsed(spark, data).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert used >= spark.sparkContext.defaultParallelism
