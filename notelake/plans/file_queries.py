@@ -184,7 +184,7 @@ def archive_bodies(s, d):
 
 @query(f"WITH {_FILES} SELECT 'attachments/' || file AS path, (3 + length((SELECT k FROM named WHERE named.no = f.no)::VARCHAR))::BIGINT AS size FROM f")
 def archive_files_written(s, d):
-    """The attachments on disk, under their paths."""
+    """The attachments on disk, under their names; of those of one name, all but one lie in folders of their own."""
     root = scratch(s, "files")
     sinks.write_files(sinks.attachment_files(_archive(s, d)[1]), root)
     found = s.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)

@@ -12,6 +12,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import log_sanitize, required_flag, yaml_escape
 from .vault import registry_rows
@@ -138,5 +139,11 @@ def seed_notes(projects: DataFrame, children: DataFrame, areas: DataFrame) -> Da
 
 
 def attachment_files(files: DataFrame, folder: str = "attachments") -> DataFrame:
-    """path, content of attachments (file, data), to be written below a folder."""
-    return files.select(F.concat(F.lit(folder + "/"), "file").alias("path"), F.col("data").alias("content"))
+    """path, content of attachments (file, data), to be written below a folder, the same content under the same name once.
+
+    Six digits of a hash tell many thousand names apart, not all. Of other contents under one name, the one of the
+    least hash lies at the name itself, each other in a folder named by its whole hash, so that none overwrites another.
+    """
+    own = files.select("file", F.md5("data").alias("md5"), "data").dropDuplicates(["file", "md5"])
+    first = F.col("md5") == F.min("md5").over(Window.partitionBy("file"))
+    return own.select(F.concat(F.lit(folder + "/"), F.when(first, "").otherwise(F.concat("md5", F.lit("/"))), "file").alias("path"), F.col("data").alias("content"))

@@ -153,3 +153,13 @@ def test_rows_of_one_row_group_are_dealt_out(spark):
         pytest.skip("no test tables here")
     used = note_queries.parsed(spark, data).select(F.spark_partition_id().alias("p")).distinct().count()
     assert used >= spark.sparkContext.defaultParallelism
+
+
+def test_attachments_of_one_name_are_all_kept(spark, tmp_path):
+    """Three pictures whose hashes begin with the same digits, and one that stands in two notes."""
+    rows = [("a-123456.png", b"one"), ("a-123456.png", b"two"), ("a-123456.png", b"three"), ("a-123456.png", b"one"), ("b.png", b"four")]
+    files = spark.createDataFrame(rows, "file string, data binary").repartition(3)
+    sinks.write_files(sinks.attachment_files(files), str(tmp_path))
+    found = [x for x in (tmp_path / "attachments").rglob("*") if x.is_file()]
+    assert sorted((x.name, x.read_bytes()) for x in found) == sorted(set(rows))
+    assert (tmp_path / "attachments/a-123456.png").exists()
