@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.dates import within
+from ..functions.text import once
 from .matching import match_items
 
 
@@ -59,9 +60,15 @@ def curated_open(items: DataFrame) -> DataFrame:
 
 def on_calendar(items: DataFrame, events: DataFrame, least: int = 2, text: str = "text", title: str = "title", shortest: int = 4) -> DataFrame:
     """Items that share at least ``least`` distinct words, of ``shortest`` letters or more, with one event. ``items`` has ``id``, ``events`` has ``event``."""
-    words = lambda c: F.explode(F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= shortest))).alias("word")
-    shared = items.select("id", words(text)).join(events.select("event", words(title)), "word").groupBy("id", "event").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return items.join(shared.select("id").distinct(), "id", "left_semi")
+    words = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= shortest)))
+    # Items and events of the same words are one, and no pair of the two is kept: an item's test ends at the first event that passes.
+    held = items.withColumn("words__", once(words(F.col(text))))
+    sets = held.select("words__").where(F.size("words__") >= least).distinct()
+    asked = events.select(once(words(F.col(title))).alias("asked__")).where(F.size("asked__") >= least).distinct()
+    asked = asked.select("asked__", F.explode("asked__").alias("word__"))
+    shares = (F.col("word__") == F.col("one__")) & (F.size(F.array_intersect("words__", "asked__")) >= least)
+    met = sets.select("words__", F.explode("words__").alias("one__")).join(asked, shares, "left_semi").select("words__").distinct()
+    return held.join(met, "words__", "left_semi").select(*items.columns)
 
 
 def stage(sections: DataFrame, additions: DataFrame) -> DataFrame:

@@ -163,3 +163,18 @@ def test_attachments_of_one_name_are_all_kept(spark, tmp_path):
     found = [x for x in (tmp_path / "attachments").rglob("*") if x.is_file()]
     assert sorted((x.name, x.read_bytes()) for x in found) == sorted(set(rows))
     assert (tmp_path / "attachments/a-123456.png").exists()
+
+
+def test_calendar_matching_makes_no_pairs(spark):
+    import re
+
+    r = random.Random(7)
+    said = lambda n: [" ".join(r.choice(["alpha", "Beta", "gamma", "delta!", "of", "epsilon"]) for _ in range(r.randrange(6))) for _ in range(n)] + [None, ""]
+    texts, titles = said(80), said(12)
+    items = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    events = spark.createDataFrame(list(enumerate(titles)), "event long, title string")
+    out = planning.on_calendar(items, events, 3)
+    assert "Inner" not in out._jdf.queryExecution().optimizedPlan().toString()
+    words = lambda t: {w for w in re.split(r"\W+", (t or "").lower()) if len(w) >= 4}
+    want = [i for i, t in enumerate(texts) if any(len(words(t) & words(e)) >= 3 for e in titles)]
+    assert want and sorted(x["id"] for x in out.collect()) == want and out.columns == ["id", "text"]
