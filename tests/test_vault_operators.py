@@ -178,3 +178,30 @@ def test_calendar_matching_makes_no_pairs(spark):
     words = lambda t: {w for w in re.split(r"\W+", (t or "").lower()) if len(w) >= 4}
     want = [i for i, t in enumerate(texts) if any(len(words(t) & words(e)) >= 3 for e in titles)]
     assert want and sorted(x["id"] for x in out.collect()) == want and out.columns == ["id", "text"]
+
+
+@pytest.mark.parametrize("long", [48, 5])
+def test_near_tags_against_all_pairs(spark, monkeypatch, long):
+    """By rests and by pieces alike; words of one beginning that are far apart never meet."""
+    from notelake.operators import tags
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    monkeypatch.setattr(tags, "LONG", long)
+    r = random.Random(11)
+    words = sorted({"".join(r.choice("abé") for _ in range(r.randrange(9))) for _ in range(150)} | {"", "a", "b", "ab"})
+    frame = spark.createDataFrame([(w,) for w in [*words, words[-1]]], "tag string")
+    for most, least in ((2, 1), (2, 0), (1, 3), (2, 6)):
+        kept = [w for w in words if len(w) >= least]
+        want = {(a, b, distance(a, b)) for a in kept for b in kept if a < b and distance(a, b) <= most}
+        got = [tuple(x) for x in tags.edit_distance(frame, most, least).collect()]
+        assert len(got) == len(want) and set(got) == want
+    far = spark.range(2000).select(F.concat(F.lit("opening"), F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 12)).alias("tag"))
+    if long > 20:
+        assert tags._by_rests(far.withColumn("len", F.length("tag")), 2).count() < 100
