@@ -1,8 +1,9 @@
 """Item matching: equal after normalisation, or one a prefix of the other with the shorter at least 30 characters.
 
-Nothing but hashes meets: a line offers the hash of itself and, for each length that a line of the other side has, the
-hash of its own beginning of that length. Both are 128 bits, so equal hashes are equal texts. The hashes a line offers
-are bounded by the distinct lengths of the shorter side, and lines that share an opening but do not match never meet.
+Nothing but hashes meets: a line offers the hash of itself and, for each length that a line of the other side with the same
+opening has, the hash of its own beginning of that length. Both are 128 bits, so equal hashes are equal texts. The hashes
+a line offers are bounded by those lengths, and lines that share an opening but do not match never meet. Each side's lines
+are made once, in a cut.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import once
+from ..session import cut
 
 PREFIX = 30
 
@@ -25,19 +27,29 @@ def digest(text: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("x"), F.xxhash64(F.lit(1), text).alias("y"))
 
 
-def _lengths(df: DataFrame, norm: str) -> Column:
-    """The lengths, of PREFIX on, that lines of a side have, as a scalar subquery; as many as there are characters in its longest line at most."""
-    size = once(F.length(norm))
-    return df.select(size.alias("n")).where(F.col("n") >= PREFIX).agg(F.sort_array(F.collect_set("n"))).scalar()
+def _lines(df: DataFrame, norm: str, most: int | None = None) -> DataFrame:
+    """``df`` without its lines, but with ``own`` (the line's hash, null for a null line), ``size__``, ``opening__`` (its first PREFIX characters' hash) and ``begin__``: the line, or its first ``most`` characters. A cut, as lines may be costly to make."""
+    rest = [c for c in df.columns if c != norm]
+    known = df.select(*rest, once(F.col(norm)).alias("line__"))
+    start = lambda n: F.substring("line__", 1, n)
+    own, begin = F.when(F.col("line__").isNotNull(), digest(F.col("line__"))), F.col("line__") if most is None else start(most)
+    return cut(known.select(*rest, own.alias("own"), F.length("line__").alias("size__"), digest(start(PREFIX)).alias("opening__"), begin.alias("begin__")), "lines")
 
 
-def keyed(df: DataFrame, other: DataFrame, norm: str = "norm", other_norm: str = "norm") -> DataFrame:
-    """``df`` without its lines, but with ``own`` (the line's hash) and ``heads`` (of its beginnings of the other side's lengths, those shorter than it). Rows with a null line are left out."""
-    rest = [c for c in df.columns if c != norm]
-    known = df.select(*rest, once(F.col(norm)).alias("line__")).where("line__ IS NOT NULL")
-    known = known.select(*rest, "line__", once(F.length("line__")).alias("size__"), _lengths(other, other_norm).alias("lengths__"))
-    shorter = F.filter("lengths__", lambda n: n < F.col("size__"))
-    return known.select(*rest, digest(F.col("line__")).alias("own"), F.transform(shorter, lambda n: digest(F.substring(F.col("line__"), F.lit(1), n))).alias("heads"))
+def sides(left: DataFrame, right: DataFrame, left_norm: str = "norm", right_norm: str = "norm") -> tuple[DataFrame, DataFrame]:
+    """Both sides' lines, the left's whole and the right's as far as the left's reach; the shorter lines do best on the left."""
+    l = _lines(left, left_norm)  # noqa: E741
+    return l, _lines(right, right_norm, l.agg(F.max("size__")).first()[0] or 0)
+
+
+def keyed(side: DataFrame, other: DataFrame) -> DataFrame:
+    """Of ``sides`` one with ``own`` and ``heads`` (the hashes of its lines' beginnings of the lengths that the other side's lines with that opening have, those shorter than it). Rows with a null line are left out."""
+    asked = other.where((F.col("size__") >= PREFIX) & (F.col("size__") < side.agg(F.max("size__")).scalar()))
+    lengths = asked.groupBy("opening__").agg(F.collect_set("size__").alias("lengths__"))
+    shorter = F.filter(F.coalesce("lengths__", F.array().cast("array<int>")), lambda n: n < F.col("size__"))
+    heads = F.transform(shorter, lambda n: digest(F.substring(F.col("begin__"), F.lit(1), n)))
+    known = side.where("own IS NOT NULL").join(lengths, "opening__", "left")
+    return known.withColumn("heads", heads).drop("opening__", "size__", "begin__", "lengths__")
 
 
 def _doors(side: DataFrame, left: bool) -> DataFrame:
@@ -70,12 +82,13 @@ def match_items(left: DataFrame, right: DataFrame, how: str = "inner", left_norm
     A null line matches nothing. Each pair comes once.
     """
     if how in ("left_semi", "left_anti"):
-        met = matched(keyed(left.select(left_norm), right, left_norm, right_norm), keyed(right.select(right_norm), left, right_norm, left_norm))
-        return left.join(met, digest(F.col(left_norm)) == F.col("own"), how)
+        l, r = sides(left, right.select(right_norm), left_norm, right_norm)  # noqa: E741
+        met = matched(keyed(l, r), keyed(r, l))
+        return l.join(met, "own", how).select(*[F.col("begin__").alias(c) if c == left_norm else F.col(c) for c in left.columns])
     lines = lambda df, norm, name: df.withColumn(name, F.col(norm))
-    l = keyed(lines(left, left_norm, "line_l__"), right, "line_l__", right_norm)  # noqa: E741
     r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
-    return join_keyed(l, keyed(lines(r, f"r_{right_norm}", "line_r__"), left, "line_r__", left_norm))
+    l, r = sides(lines(left, left_norm, "line_l__"), lines(r, f"r_{right_norm}", "line_r__"), "line_l__", "line_r__")  # noqa: E741
+    return join_keyed(keyed(l, r), keyed(r, l))
 
 
 def carried_weeks(unchecked: DataFrame, key: str = "item", week: str = "week", weeks: int = 3) -> DataFrame:

@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import once
 from . import matching
 
 
-def flip_completed(planned: DataFrame, completed: DataFrame) -> DataFrame:
-    """``planned`` (norm, checked, ...) with matched items checked; never unchecked, nothing else changed, the same again when repeated. Only hashes of lines are dealt out."""
-    met = matching.matched(matching.keyed(planned.select("norm"), completed), matching.keyed(completed.select("norm"), planned)).withColumn("hit__", F.lit(True))
-    out = planned.join(met, matching.digest(F.col("norm")) == F.col("own"), "left")
-    return out.withColumn("checked", F.col("checked") | F.coalesce("hit__", F.lit(False))).drop("own", "hit__")
+def flip_completed(planned: DataFrame, completed: DataFrame, lines: bool = True) -> DataFrame:
+    """``planned`` (norm, checked, ...) with matched items checked; never unchecked, nothing else changed, the same again when repeated. Without ``lines`` the norm is left out, and made once only."""
+    done, own = matching.sides(completed.select("norm"), planned.select("norm") if lines else planned)
+    met = matching.matched(matching.keyed(own, done), matching.keyed(done, own)).withColumn("hit__", F.lit(True))
+    if lines:
+        # The hash is a column of its own; as a join's key it would be made again at each step of the join.
+        known = planned.withColumn("line__", once(F.col("norm")))
+        own = known.withColumn("own", F.when(F.col("line__").isNotNull(), matching.digest(F.col("line__"))))
+    out = own.join(met, "own", "left").withColumn("checked", F.col("checked") | F.coalesce("hit__", F.lit(False)))
+    return out.select(*[c for c in planned.columns if lines or c != "norm"])
 
 
 def verbs(old: DataFrame, new: DataFrame, key: str, value: str, ended: DataFrame | None = None) -> DataFrame:

@@ -74,10 +74,11 @@ def cls_screened_by_source(s, d):
 
 @query(f"WITH {views.LINES}, w AS (SELECT norm, min(doc_id) AS doc_id, count(*) AS n FROM norms GROUP BY norm) SELECT a.doc_id AS daily_id, b.doc_id AS weekly_id, b.n AS n_weekly FROM daily AS a JOIN w AS b ON substr(a.norm, 1, 30) = substr(b.norm, 1, 30) AND {views.MATCH}")
 def match_prefix30(s, d):
-    lines, weekly = views.daily(s, d).select(F.col("doc_id").alias("daily_id"), "norm"), views.norms(s, d).select("doc_id", "norm")
+    lines, weekly = matching.sides(views.daily(s, d).select(F.col("doc_id").alias("daily_id"), "norm"), views.norms(s, d).select("doc_id", "norm"))
     # Equal lines are one, by their hash.
-    one = matching.keyed(weekly, lines).groupBy("own").agg(F.min("doc_id").alias("weekly_id"), F.count("*").alias("n_weekly"), F.first("heads").alias("heads"))
-    return matching.join_keyed(matching.keyed(lines, weekly), one)
+    same = [F.first(c).alias(c) for c in ("size__", "opening__", "begin__")]
+    one = weekly.where("own IS NOT NULL").groupBy("own").agg(F.min("doc_id").alias("weekly_id"), F.count("*").alias("n_weekly"), *same)
+    return matching.join_keyed(matching.keyed(lines, weekly), matching.keyed(one, lines))
 
 
 @query(f"WITH {views.LINES} SELECT doc_id, norm FROM daily AS a WHERE NOT EXISTS (SELECT 1 FROM norms AS b WHERE b.lang <> 'en' AND substr(a.norm, 1, 30) = substr(b.norm, 1, 30) AND {views.MATCH})")
@@ -101,8 +102,8 @@ def carry_forward_third_week(s, d):
 
 @query(f"WITH {views.LINES} SELECT doc_id, EXISTS (SELECT 1 FROM daily AS b WHERE substr(a.norm, 1, 30) = substr(b.norm, 1, 30) AND {views.MATCH}) AS checked FROM norms AS a")
 def reconcile_flip(s, d):
-    planned = views.norms(s, d).withColumn("checked", F.lit(False))
-    return reconcile.flip_completed(planned, views.daily(s, d)).select("doc_id", "checked")
+    planned = views.norms(s, d).select("doc_id", "norm", F.lit(False).alias("checked"))
+    return reconcile.flip_completed(planned, views.daily(s, d), lines=False).select("doc_id", "checked")
 
 
 _SNAP = "WITH o AS (SELECT c_custkey, c_mktsegment AS v FROM customer WHERE c_custkey % 10 <> 0), n AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'NEW' ELSE c_mktsegment END AS v FROM customer WHERE c_custkey % 11 <> 0)"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
 import uuid
@@ -61,3 +63,25 @@ def shared_base(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder all executors share."""
     return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_cuts: list[tuple[SparkSession, str]] = []
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` to the folder all executors share and returns it read again, so that what makes its rows is done once however often they are read. Removed when the driver ends with its session still up."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    df.write.parquet(path)
+    if not _cuts:
+        atexit.register(_sweep)
+    _cuts.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _sweep() -> None:
+    for spark, path in _cuts:
+        with contextlib.suppress(Exception):
+            if spark.sparkContext._jsc is not None:
+                target = spark._jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

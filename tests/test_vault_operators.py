@@ -205,3 +205,28 @@ def test_near_tags_against_all_pairs(spark, monkeypatch, long):
     far = spark.range(2000).select(F.concat(F.lit("opening"), F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 12)).alias("tag"))
     if long > 20:
         assert tags._by_rests(far.withColumn("len", F.length("tag")), 2).count() < 100
+
+
+def test_lines_are_made_once_and_offer_few_beginnings(spark):
+    """Each side's lines by one pass, whatever reads them; and no hash for a length that no line of the same opening has."""
+    from pyspark.sql.types import StringType
+
+    made = spark.sparkContext.accumulator(0)
+
+    def make(i):
+        made.add(1)
+        return None if i % 50 == 49 else f"{i % 40:040d}" + "x" * (i % 7)
+
+    line = F.udf(make, StringType())
+    planned = spark.range(100).select("id", line(F.col("id")).alias("norm"), F.lit(False).alias("checked"))
+    completed = spark.range(100, 130).select(line(F.col("id")).alias("norm"))
+    out = reconcile.flip_completed(planned, completed, lines=False)
+    got = {x["id"]: x["checked"] for x in out.collect()}
+    assert made.value == 130 and out.columns == ["id", "checked"]
+    text = lambda i: None if i % 50 == 49 else f"{i % 40:040d}" + "x" * (i % 7)
+    assert got == {i: any(rule(text(i), text(j)) for j in range(100, 130)) for i in range(100)} and set(got.values()) == {True, False}
+
+    lines = spark.createDataFrame([(f"{k:030d}" + "y" * k,) for k in range(40)], "norm string")
+    l, r = matching.sides(lines, lines)  # noqa: E741
+    assert {x["n"] for x in matching.keyed(l, r).select(F.size("heads").alias("n")).collect()} == {0}
+    assert matching.match_items(lines, lines).count() == 40
