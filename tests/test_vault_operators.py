@@ -230,3 +230,16 @@ def test_lines_are_made_once_and_offer_few_beginnings(spark):
     l, r = matching.sides(lines, lines)  # noqa: E741
     assert {x["n"] for x in matching.keyed(l, r).select(F.size("heads").alias("n")).collect()} == {0}
     assert matching.match_items(lines, lines).count() == 40
+
+
+def test_pairs_of_lines_read_no_texts(spark):
+    """The pairs are made of what is kept of the lines; the notes' texts are read by the passes before."""
+    from pathlib import Path
+
+    from notelake.plans.queries import QUERIES
+
+    data = "/root/testdata/sf0.001"
+    if not Path(data).exists():
+        pytest.skip("no test tables here")
+    plan = QUERIES["match_prefix30"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "text#" not in plan
