@@ -92,12 +92,14 @@ def strip_fence(c: Column) -> Column:
 def item_norm(c: Column) -> Column:
     """The form in which checklist items are compared: no priority tag or due mark at the end, no stray marks, single spaces, lower case.
 
-    The two marks are looked for at the end of the text only, so a long text is read by two regexes and no more.
+    The two marks are looked for at the end of the text only, so a long text is read by two regexes and no more. Trimming
+    a long text costs as much as those, so it is done only where a mark, or more blanks than can be told, end the text.
     """
     space = F.lit(" \t\n\x0b\f\r")
+    ends = F.right(c, F.lit(64)).rlike(r"(?i)(\[P[123]\]`?|\(due today\))\s*$|\s{40}$")
     bare = F.when(F.right(F.rtrim(c, space), F.lit(5)).rlike(r"\[P[123]\]`?$"), F.regexp_replace(c, r"\s*`?\[P[123]\]`?\s*$", "")).otherwise(c)
     due = F.lower(F.right(F.rtrim(bare, space), F.lit(11))) == "(due today)"
-    bare = F.when(due, F.regexp_replace(bare, r"(?i)\s*\(due today\)\s*$", "")).otherwise(bare)
+    bare = F.when(ends, F.when(due, F.regexp_replace(bare, r"(?i)\s*\(due today\)\s*$", "")).otherwise(bare)).otherwise(c)
     return F.lower(F.trim(collapse_ws(F.regexp_replace(bare, r"[`*_.,;:!?]+", ""))))
 
 

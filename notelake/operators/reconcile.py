@@ -12,13 +12,22 @@ from . import matching
 def flip_completed(planned: DataFrame, completed: DataFrame, lines: bool = True) -> DataFrame:
     """``planned`` (norm, checked, ...) with matched items checked; never unchecked, nothing else changed, the same again when repeated. Without ``lines`` the norm is left out, and made once only."""
     done, own = matching.sides(completed.select("norm"), planned.select("norm") if lines else planned)
+    if not lines:
+        return flip_lines(own, done).select(*[c for c in planned.columns if c != "norm"])
+    # The hash is a column of its own; as a join's key it would be made again at each step of the join.
+    known = planned.withColumn("line__", once(F.col("norm")))
+    known = known.withColumn("own", F.when(F.col("line__").isNotNull(), matching.digest(F.col("line__"))))
+    return _flipped(known, own, done).select(*planned.columns)
+
+
+def flip_lines(own: DataFrame, done: DataFrame) -> DataFrame:
+    """The same over lines that are made already (``matching.lines``)."""
+    return _flipped(own, own, done)
+
+
+def _flipped(known: DataFrame, own: DataFrame, done: DataFrame) -> DataFrame:
     met = matching.matched(matching.keyed(own, done), matching.keyed(done, own)).withColumn("hit__", F.lit(True))
-    if lines:
-        # The hash is a column of its own; as a join's key it would be made again at each step of the join.
-        known = planned.withColumn("line__", once(F.col("norm")))
-        own = known.withColumn("own", F.when(F.col("line__").isNotNull(), matching.digest(F.col("line__"))))
-    out = own.join(met, "own", "left").withColumn("checked", F.col("checked") | F.coalesce("hit__", F.lit(False)))
-    return out.select(*[c for c in planned.columns if lines or c != "norm"])
+    return known.join(met, "own", "left").withColumn("checked", F.col("checked") | F.coalesce("hit__", F.lit(False)))
 
 
 def verbs(old: DataFrame, new: DataFrame, key: str, value: str, ended: DataFrame | None = None) -> DataFrame:

@@ -265,7 +265,8 @@ _CARRY = f"WITH {views.LINES}, a AS (SELECT doc_id, norm FROM norms WHERE lang =
 
 
 def _carry(s, d):
-    return matching.carry_forward(views.norms(s, d).where("lang = 'de'").select("doc_id", "norm"), views.daily(s, d).where("lang = 'de'").select("norm"))
+    lines = views.lines(s, d, "lang = 'de'")
+    return matching.carry_forward(lines, views.daily(lines))
 
 
 @query(_CARRY + " SELECT doc_id FROM m WHERE NOT twice")

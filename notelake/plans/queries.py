@@ -74,7 +74,8 @@ def cls_screened_by_source(s, d):
 
 @query(f"WITH {views.LINES}, w AS (SELECT norm, min(doc_id) AS doc_id, count(*) AS n FROM norms GROUP BY norm) SELECT a.doc_id AS daily_id, b.doc_id AS weekly_id, b.n AS n_weekly FROM daily AS a JOIN w AS b ON substr(a.norm, 1, 30) = substr(b.norm, 1, 30) AND {views.MATCH}")
 def match_prefix30(s, d):
-    lines, weekly = matching.sides(views.daily(s, d).select(F.col("doc_id").alias("daily_id"), "norm"), views.norms(s, d).select("doc_id", "norm"))
+    weekly = views.lines(s, d).drop("lang", "source")
+    lines = views.daily(weekly).withColumnRenamed("doc_id", "daily_id")
     # Equal lines are one, by their hash.
     same = [F.first(c).alias(c) for c in ("size__", "opening__", "begin__")]
     one = weekly.where("own IS NOT NULL").groupBy("own").agg(F.min("doc_id").alias("weekly_id"), F.count("*").alias("n_weekly"), *same)
@@ -83,12 +84,14 @@ def match_prefix30(s, d):
 
 @query(f"WITH {views.LINES} SELECT doc_id, norm FROM daily AS a WHERE NOT EXISTS (SELECT 1 FROM norms AS b WHERE b.lang <> 'en' AND substr(a.norm, 1, 30) = substr(b.norm, 1, 30) AND {views.MATCH})")
 def dedupe_existing(s, d):
-    return matching.match_items(views.daily(s, d), views.norms(s, d).where("lang <> 'en'"), "left_anti").select("doc_id", "norm")
+    lines = views.lines(s, d, "lang <> 'en' OR doc_id % 3 = 0")
+    return matching.match_lines(views.daily(lines), lines.where("lang <> 'en'"), "left_anti").select("doc_id", F.col("begin__").alias("norm"))
 
 
 @query(f"WITH {views.LINES} SELECT doc_id FROM daily AS a WHERE NOT EXISTS (SELECT 1 FROM norms AS b WHERE b.lang = 'en' AND substr(a.norm, 1, 30) = substr(b.norm, 1, 30) AND {views.MATCH})")
 def completed_unplanned(s, d):
-    return matching.match_items(views.daily(s, d), views.norms(s, d).where("lang = 'en'"), "left_anti").select("doc_id")
+    lines = views.lines(s, d, "lang = 'en' OR doc_id % 3 = 0")
+    return matching.match_lines(views.daily(lines), lines.where("lang = 'en'"), "left_anti").select("doc_id")
 
 
 _WEEKS = f"WITH {views.TASKS}, u AS (SELECT DISTINCT item, day - dayofweek(day)::INT AS week FROM tasks WHERE NOT checked)"
@@ -102,8 +105,8 @@ def carry_forward_third_week(s, d):
 
 @query(f"WITH {views.LINES} SELECT doc_id, EXISTS (SELECT 1 FROM daily AS b WHERE substr(a.norm, 1, 30) = substr(b.norm, 1, 30) AND {views.MATCH}) AS checked FROM norms AS a")
 def reconcile_flip(s, d):
-    planned = views.norms(s, d).select("doc_id", "norm", F.lit(False).alias("checked"))
-    return reconcile.flip_completed(planned, views.daily(s, d), lines=False).select("doc_id", "checked")
+    planned = views.lines(s, d)
+    return reconcile.flip_lines(planned.withColumn("checked", F.lit(False)), views.daily(planned)).select("doc_id", "checked")
 
 
 _SNAP = "WITH o AS (SELECT c_custkey, c_mktsegment AS v FROM customer WHERE c_custkey % 10 <> 0), n AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'NEW' ELSE c_mktsegment END AS v FROM customer WHERE c_custkey % 11 <> 0)"

@@ -243,3 +243,53 @@ def test_pairs_of_lines_read_no_texts(spark):
         pytest.skip("no test tables here")
     plan = QUERIES["match_prefix30"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" not in plan and "text#" not in plan
+
+
+def test_each_note_is_normalised_once_for_both_sides(spark, monkeypatch):
+    """Daily lines are beginnings of the notes' lines, so no note's text is read for them again."""
+    from pathlib import Path
+
+    from pyspark.sql.types import StringType
+
+    from notelake.plans import views
+    from notelake.plans.queries import QUERIES
+
+    data = "/root/testdata/sf0.001"
+    if not Path(data).exists():
+        pytest.skip("no test tables here")
+    docs = session.table(spark, data, "documents")
+    for name, asked in (("match_prefix30", "true"), ("reconcile_flip", "true"), ("dedupe_existing", "lang <> 'en' OR doc_id % 3 = 0"), ("completed_unplanned", "lang = 'en' OR doc_id % 3 = 0"), ("carry_forward_kept", "lang = 'de'")):
+        made = spark.sparkContext.accumulator(0)
+        line = F.udf(lambda t, made=made: (made.add(1), t)[1], StringType())
+        monkeypatch.setattr(views, "item_norm", line)
+        QUERIES[name](spark, data).collect()
+        assert made.value == docs.where(asked).count(), name
+
+
+def test_pairs_are_read_from_lists(spark):
+    """Left times right lines of a common opening never come out of the join row by row; all pairs are there, repeated rows and maps too."""
+    head, (m, n) = "one common opening of more than thirty characters", (60, 90)
+    left = [(i // 2, head[: 30 + i % 3], {"a": i // 2}) for i in range(m)] + [(m, None, None), (m + 1, "short", None)]
+    right = [(j, head + str(j)) for j in range(n)] + [(n, None), (n + 1, "short")]
+    lf, rf = spark.createDataFrame(left, "i long, norm string, m map<string, long>"), spark.createDataFrame(right, "j long, norm string")
+    pairs = matching.match_items(lf, rf)
+    assert pairs.columns == ["i", "norm", "m", "r_j", "r_norm"]
+    got = sorted((x["i"], x["norm"], x["m"] and x["m"]["a"], x["r_j"]) for x in pairs.collect())
+    assert got == sorted([(i, a, i, j) for i, a, _ in left[:m] for j in range(n)] + [(m + 1, "short", None, n + 1)])
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate inline") < plan.index("Join Inner")
+
+
+def test_item_norm_is_its_five_steps(spark):
+    """The end of a text is looked at in short first; marks behind any number of blanks are found all the same."""
+    import re
+
+    def steps(t):
+        for pattern, flags, put in ((r"\s*`?\[P[123]\]`?\s*$", 0, ""), (r"\s*\(due today\)\s*$", re.I, ""), (r"[`*_.,;:!?]+", 0, ""), (r"\s+", 0, " "), (r"^\s+|\s+$", 0, "")):
+            t = re.sub(pattern, put, t, flags=re.ASCII | flags)
+        return t.lower()
+
+    ends = ["", "[P1]", " `[P2]`", " (Due Today)", "(due today) [P3]", " `[P1]` (due today)", "[P4]", "due today)", "]", " (due\ttoday)"]
+    texts = [body + end + blank * k for body in ("", "Send  the *draft*", "x" * 70, "a\n" * 40) for end in ends for blank in (" ", "\n", "\t") for k in (0, 1, 38, 39, 40, 41, 52, 60, 63, 64, 65, 200)]
+    got = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", text.item_norm(F.col("t")).alias("norm")).collect()
+    assert len(got) == len(texts) + 1 and all(x["norm"] == (None if x["t"] is None else steps(x["t"])) for x in got)
