@@ -89,14 +89,13 @@ class ChunkEncoder:
         return np.array(ids, self.dtype).tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        """Puts the ids of words of Latin letters and signs into the memo."""
-        tokens = [self.model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_LETTERS)) for w in words]
-        ids = self._packed([t.id for own in tokens for t in own])
-        lo = 0
-        for word, own in zip(words, tokens, strict=True):
-            hi = lo + len(own) * self.width
-            self.words[word] = ids[lo:hi]
-            lo = hi
+        """Puts the ids of words of Latin letters and signs into the memo. A word's tokens are let go at once, as holding those of all words costs more time than making them."""
+        tokenize, ids, ends = self.model.tokenize, [], [0]
+        for w in words:
+            ids += [t.id for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+            ends.append(len(ids) * self.width)
+        packed = self._packed(ids)
+        self.words.update(zip(words, map(packed.__getitem__, map(slice, ends, ends[1:])), strict=True))
 
     def _encoded(self, chunks: list[str]) -> list[bytes]:
         """The ids of chunks, which hold no blanks."""
@@ -135,10 +134,11 @@ class ChunkEncoder:
         # The chunks' ids in one run, the end of a document as the last of them.
         spelt = [*map(self.chunks.get, distinct), end]
         new = [k for k, x in enumerate(spelt) if x is None]
-        for k, x in zip(new, self._encoded([distinct[k] for k in new]), strict=True):
+        names = [distinct[k] for k in new]
+        own = self._encoded(names)
+        for k, x in zip(new, own, strict=True):
             spelt[k] = x
-            if len(distinct[k]) <= 64:
-                self.chunks[distinct[k]] = x
+        self.chunks.update(zip(names, own, strict=True) if max(map(len, names), default=0) <= 64 else [(c, x) for c, x in zip(names, own, strict=True) if len(c) <= 64])
         flat = np.frombuffer(b"".join(spelt), self.dtype)
         # A slab's ids are counted in 32 bits, as its bytes are in Arrow's offsets.
         sizes = np.fromiter(map(len, spelt), np.int32, len(spelt)) // self.width

@@ -16,7 +16,7 @@ from notelake.llm.html_blocks import blocks
 from notelake.llm.html_model import BiLstm
 from notelake.llm.lexicon import Entry, LexiconAutomaton
 from notelake.llm.rans import Coder, Frequencies
-from notelake.llm.token_output import ChunkEncoder, read_tokenizer
+from notelake.llm.token_output import _BYTE_LETTERS, ChunkEncoder, read_tokenizer
 
 
 @pytest.mark.parametrize("n", [0, 1, 255, 1000, 70_001])
@@ -37,6 +37,33 @@ def test_chunk_encoder_equals_whole_tokenizer():
         assert np.frombuffer(own.encode(text), own.dtype).tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_chunk_encoder_holds_one_words_tokens():
+    """The tokens of a word are gone when the next word is encoded; only its ids stay."""
+    own, alive, most = ChunkEncoder(read_tokenizer(public_tokenizers.path("word_bpe_49k.json"))), 0, 0
+    model = own.model
+
+    class Token:
+        def __init__(self, number):
+            nonlocal alive, most
+            self.id, alive = number, alive + 1
+            most = max(most, alive)
+
+        def __del__(self):
+            nonlocal alive
+            alive -= 1
+
+    class Model:
+        def tokenize(self, word):
+            return [Token(t.id) for t in model.tokenize(word)]
+
+    own.model = Model()
+    words = [f"word{'xyz'[k % 3] * (k // 3)}é" for k in range(60)]
+    longest = max(len(model.tokenize(w.encode().decode("latin-1").translate(_BYTE_LETTERS))) for w in words)
+    text = " ".join(words)
+    assert np.frombuffer(own.encode(text), own.dtype).tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+    assert 0 < most <= longest + 1 and alive == 0
+
+
 def test_word_and_shingle_hashes():
     a, b, c, d = words_by_text([b"The cat  SAT", b"the\tCAT\nsat", None, b"x"])
     assert (a == b).all() and len(c) == 0 and len(shingle_hashes(d, 2)) == 1 and len(shingle_hashes(a, 2)) == 2
